@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -94,21 +95,6 @@ def number_rows(work: Work, df: DataFrame, keys: list[str], order: list[str], ou
     return numbered.drop("_at", "_part", "_first", "_base")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered while there is room."""
-
-    ROOM = 500_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.ROOM:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -132,10 +118,119 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     total = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for j, c in enumerate(odd_constants(size, seed * 1_000_003 + size)):
-            total += mix(words[j : j + n] ^ c) * c if size <= 1 else words[j : j + n] * c
+            total += words[j : j + n] * c
     return mix(total)
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A word of at most this many bytes is hashed with all others at once.
+_SHORT = 64
+_BYTE_VALUES = odd_constants(256, 11)
+_PLACE_VALUES = odd_constants(_SHORT, 23)
+_CHUNK = 2 << 20
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[starts[i]:ends[i]], in order and not touching each other."""
+    lens = ends - starts
+    out = np.zeros(len(lens), np.uint64)
+    long = lens > _SHORT
+    few, at = lens[~long], starts[~long]
+    if len(few):
+        first = np.cumsum(few) - few
+        place = np.arange(int(few.sum())) - np.repeat(first, few)
+        with np.errstate(over="ignore"):
+            values = _BYTE_VALUES[data[np.repeat(at, few) + place]] * _PLACE_VALUES[place]
+            out[~long] = mix(np.add.reduceat(values, first) + few.astype(np.uint64))
+    for i in np.flatnonzero(long):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+@dataclass
+class Chunk:
+    """The words of some consecutive texts, hashed.
+
+    Text i of the chunk is ``data[offsets[i]:offsets[i+1]]`` (UTF-8), row ``row + i`` of its batch; its words
+    are those from ``first[i]`` to ``first[i+1]``, each with its hash and its place in ``data``.
+    """
+
+    row: int
+    data: np.ndarray
+    offsets: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def bytes_of(self, i: int) -> bytes:
+        return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
+
+    def text_of_word(self) -> np.ndarray:
+        """Each word's text."""
+        return np.repeat(np.arange(len(self)), np.diff(self.first))
+
+    def windows(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first word, text) of every ``size`` consecutive words of one text."""
+        owner = self.text_of_word()
+        n = max(0, len(owner) - size + 1)
+        at = np.flatnonzero(owner[:n] == owner[len(owner) - n :])
+        return window_hashes(self.hashes, size, seed)[at], at, owner[at]
+
+
+def string_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column, and where each value begins and the last ends; nulls are empty."""
+    array = array.cast(pa.large_string())
+    if array.null_count:
+        array = array.fill_null("")
+    offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
+    data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None else np.empty(0, np.uint8)
+    return data, offsets
+
+
+def _word_places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = ~SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[bounds[bounds < len(data)]] = inside[bounds[bounds < len(data)]]
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:]
+    last = bounds[bounds > 0] - 1
+    stops[last] = inside[last]
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def chunks(array: pa.Array, table: bytes | None = None, size: int = _CHUNK) -> Iterator[Chunk]:
+    """All texts of a column in chunks of about ``size`` bytes. ``table``: bytes are translated by it first.
+
+    Words are runs of bytes other than 0x20 and 0x09-0x0D. A text larger than a chunk is hashed piece by
+    piece, cut at spaces.
+    """
+    data, offsets = string_buffer(array)
+    row = 0
+    while row < len(array):
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+        part, at = data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
+        if table is not None:
+            part = np.frombuffer(part.tobytes().translate(table), np.uint8)
+        found = []
+        lo = 0
+        while lo < len(part):
+            hi = min(len(part), lo + 2 * size)
+            while hi < len(part) and not SPACE[part[hi]]:
+                hi += 1
+            starts, ends = _word_places(part[lo:hi], at[(at >= lo) & (at <= hi)] - lo)
+            found.append((_hash_words(part[lo:hi], starts, ends), starts + lo, ends + lo))
+            lo = hi
+        hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        yield Chunk(row, part, at, hashes, starts, ends, np.searchsorted(starts, at))
+        row = to
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         yield from batch.to_pylist()

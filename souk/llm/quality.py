@@ -1,7 +1,7 @@
 """Quality rules: does a document's make-up diverge from its language's?
 
-Two histograms of every language are gathered over all documents: characters by class, and words by the
-language's common words (those that make up at least 1/300 of its words, so at most 300) with one bin for
+Two histograms of every language are gathered over all documents: characters by class, and plain words (A-Z in lower case,
+marks taken for spaces) by the language's common words (those that make up at least 1/300 of its words, so at most 300) with one bin for
 all others. A document's own histograms are held against them by the Jensen-Shannon distance (the square
 root of the divergence in bits: 0 for equal shapes, 1 for disjoint ones). Chance alone moves a short text's
 histogram, so texts under a minimum length aren't judged, and the word limit shrinks with the length.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import batches_of, words_of
+from souk.llm.common import SPACE, Chunk, batches_of, chunks, mix
 
 EDGES = ".,;:!?'\"()-"
 CLASSES = ("lower", "upper", "digit", "space", "line", "mark", "symbol", "other")
@@ -46,37 +46,53 @@ class Limits:
 
 
 def _class_table() -> np.ndarray:
-    table = np.full(129, CLASSES.index("other"))
+    """The class of a character by its first UTF-8 byte; 8, past the last class, for bytes that continue one."""
+    table = np.full(256, CLASSES.index("other"))
+    table[0x80:0xC0] = len(CLASSES)
     for i in range(128):
         c = chr(i)
         table[i] = CLASSES.index("lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "space" if c == " " else "line" if c in "\n\r\t\v\f" else "mark" if c in EDGES else "symbol")
     return table
 
 
-def class_counts(text: str, table: np.ndarray) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(table[np.minimum(points, 128)], minlength=len(CLASSES))
+#: Plain words: A-Z in lower case, marks taken for spaces.
+PLAIN = bytes(0x20 if chr(i) in EDGES else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
+_table = _class_table()
+_is_symbol = np.isin(np.arange(256), [ord(c) for c in _symbols])
 
 
-def plain(word: str) -> str:
-    return word.lower().strip(EDGES)
+def class_counts(chunk: Chunk) -> np.ndarray:
+    """For each text of a chunk, its characters by class."""
+    n, k = len(chunk), len(CLASSES) + 1
+    owner = np.repeat(np.arange(n) * k, np.diff(chunk.offsets))
+    return np.bincount(owner + _table[chunk.data], minlength=n * k).reshape(n, k)[:, :-1]
 
 
-def repeated_words(words: list[str]) -> int:
-    """Words inside any 3-word window that the text has twice or more."""
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == len(windows):
-        return 0
-    counts, covered, upto = Counter(windows), 0, 0
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            covered += i + 3 - max(i, upto)
-            upto = i + 3
-    return covered
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of values; empty ones give 0."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[first[1:]] - total[first[:-1]]
 
 
-def dup_lines(text: str) -> int:
-    lines = [x for x in text.split("\n") if x and words_of(x)]
+def repeated_words(chunk: Chunk, size: int = 3) -> np.ndarray:
+    """For each text, the words inside any 3-word window that the text has twice or more."""
+    windows, at, owner = chunk.windows(size)
+    with np.errstate(over="ignore"):
+        keys = mix(windows ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    twice = np.zeros(len(keys), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    covered = np.zeros(len(chunk.hashes), bool)
+    for j in range(size):
+        covered[at[twice] + j] = True
+    return sums(covered, chunk.first)
+
+
+def dup_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier one."""
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     return len(lines) - len(set(lines))
 
 
@@ -95,28 +111,35 @@ def language_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, room = _class_table(), 300_000
         words: dict[str, Counter] = defaultdict(Counter)
         classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
 
-        def flush() -> Iterator[tuple]:
+        def held() -> Iterator[tuple]:
             for lang, counter in words.items():
-                merged: Counter = Counter()
-                for w, n in counter.items():
-                    merged[plain(w)] += n
-                yield from ((lang, "w", w, n) for w, n in merged.items())
+                yield from ((lang, "w", w.decode("utf-8", "replace"), n) for w, n in counter.items())
             words.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words[lang].update(words_of(text))
-                classes[lang] += class_counts(text, table)
-            if sum(map(len, words.values())) > room:
-                yield from batches_of(flush(), schema, 50_000)
-        yield from batches_of(flush(), schema, 50_000)
+            langs = np.array(batch.column(0).to_pylist(), object)
+            for chunk in chunks(batch.column(1)):
+                of_classes = class_counts(chunk)
+                for lang in set(langs[chunk.row : chunk.row + len(chunk)]):
+                    classes[lang] += of_classes[langs[chunk.row : chunk.row + len(chunk)] == lang].sum(axis=0)
+            for chunk in chunks(batch.column(1), PLAIN):
+                own = langs[chunk.row : chunk.row + len(chunk)]
+                data = chunk.data.tobytes()
+                for lang in set(own):
+                    at = np.flatnonzero((own == lang)[chunk.text_of_word()])
+                    _, first, n = np.unique(chunk.hashes[at], return_index=True, return_counts=True)
+                    counter = words[lang]
+                    for a, b, k in zip(chunk.starts[at[first]].tolist(), chunk.ends[at[first]].tolist(), n.tolist(), strict=True):
+                        counter[data[a:b]] += k
+                if sum(map(len, words.values())) > 500_000:
+                    yield from batches_of(held(), schema, 50_000)
+        yield from batches_of(held(), schema, 50_000)
         yield from batches_of(((lang, "c", CLASSES[i], int(n)) for lang, c in classes.items() for i, n in enumerate(c)), schema)
 
-    found = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(count, "lang string, kind string, key string, n long")
+    found = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, kind string, key string, n long")
     return found.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -145,18 +168,20 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[di
     return out
 
 
-class _Places(dict):
-    """A word's bin in a language's word histogram."""
+class _Bins:
+    """The word bins of a language, found by the words' hashes."""
 
     def __init__(self, common: dict[str, int]):
-        super().__init__()
-        self.common = common
+        words = sorted(common, key=common.get)
+        hashes = next(chunks(pa.array([" ".join(words)]))).hashes if words else np.empty(0, np.uint64)
+        self.order = np.argsort(hashes)
+        self.sorted, self.n = hashes[self.order], len(words)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        place = self[word] = self.common.get(plain(word), len(self.common))
-        return place
+    def histogram(self, hashes: np.ndarray) -> np.ndarray:
+        if not self.n:
+            return np.array([len(hashes)])
+        at = np.minimum(np.searchsorted(self.sorted, hashes), self.n - 1)
+        return np.bincount(np.where(self.sorted[at] == hashes, self.order[at], self.n), minlength=self.n + 1)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -170,22 +195,26 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     refs = references(docs, limits)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        table, places = _class_table(), {lang: _Places(r[0]) for lang, r in refs.items()}
+        bins = {lang: _Bins(r[0]) for lang, r in refs.items()}
         for batch in batches:
-            for doc_id, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                text = text or ""
-                words = words_of(text)
-                n, n_repeat = len(words), repeated_words(words)
-                failed = n < limits.least_words or 100 * n_repeat > limits.most_repeated_percent * n
-                against = [lang] if lang in refs else list(refs)
-                of_chars = of_words = None
-                if len(text) >= limits.least_chars_judged and against:
-                    own = class_counts(text, table)
-                    of_chars = min(distance(own, refs[x][2]) for x in against)
-                if n >= limits.least_words_judged and against:
-                    of_words = min(distance(np.bincount(np.fromiter(map(places[x].__getitem__, words), np.int64, n), minlength=len(refs[x][1])), refs[x][1]) for x in against)
-                far = (of_chars or 0) > limits.most_char_distance or (of_words or 0) > limits.most_word_distance + limits.word_distance_by_length / max(n, 1) ** 0.5
-                yield doc_id, n, sum(map(len, words)), sum(map(text.count, _symbols)), dup_lines(text), n_repeat, of_chars, of_words, failed, not failed and not far
+            ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for chunk, low in zip(chunks(batch.column(2)), chunks(batch.column(2), PLAIN), strict=True):
+                of_classes = class_counts(chunk)
+                n_words, n_repeat = np.diff(chunk.first).tolist(), repeated_words(chunk).tolist()
+                n_symbols = sums(_is_symbol[chunk.data], chunk.offsets).tolist()
+                n_chars = sums(~SPACE[chunk.data] & (_table[chunk.data] < len(CLASSES)), chunk.offsets).tolist()
+                for i, n in enumerate(n_words):
+                    lang = langs[chunk.row + i]
+                    failed = n < limits.least_words or 100 * n_repeat[i] > limits.most_repeated_percent * n
+                    against = [lang] if lang in refs else list(refs)
+                    of_chars = of_words = None
+                    if of_classes[i].sum() >= limits.least_chars_judged and against:
+                        of_chars = min(distance(of_classes[i], refs[x][2]) for x in against)
+                    own = low.hashes[low.first[i] : low.first[i + 1]]
+                    if len(own) >= limits.least_words_judged and against:
+                        of_words = min(distance(bins[x].histogram(own), refs[x][1]) for x in against)
+                    far = (of_chars or 0) > limits.most_char_distance or (of_words or 0) > limits.most_word_distance + limits.word_distance_by_length / max(len(own), 1) ** 0.5
+                    yield ids[chunk.row + i], n, n_chars[i], n_symbols[i], dup_lines(chunk.bytes_of(i)), n_repeat[i], of_chars, of_words, failed, not failed and not far
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(lambda b: batches_of(rows(b), _arrow), _schema)
 
