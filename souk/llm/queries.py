@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from souk.llm.huffman import op10_huffman
+from souk.llm.packing import op8_packing
 from souk.llm.quality import op1_quality
+from souk.llm.sharding import op5_sharding
 
-QUERIES = {"op1_quality": op1_quality}
+QUERIES = {f.__name__: f for f in (op1_quality, op5_sharding, op8_packing, op10_huffman)}
 ORACLES: dict[str, str] = {}
