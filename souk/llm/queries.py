@@ -6,6 +6,8 @@ from souk.llm.huffman import op10_huffman
 from souk.llm.packing import op8_packing
 from souk.llm.quality import op1_quality
 from souk.llm.sharding import op5_sharding
+from souk.llm.substring import op4_substring
+from souk.llm.warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_sharding, op8_packing, op10_huffman)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_warc, op4_substring, op5_sharding, op8_packing, op10_huffman)}
 ORACLES: dict[str, str] = {}
