@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from souk.llm.bagminhash import op6_bagminhash
+from souk.llm.decontam import OP7_SQL, op7_decontam
 from souk.llm.huffman import op10_huffman
 from souk.llm.lines import op9_lines
 from souk.llm.packing import op8_packing
@@ -11,5 +12,5 @@ from souk.llm.sharding import op5_sharding
 from souk.llm.substring import op4_substring
 from souk.llm.warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_warc, op4_substring, op5_sharding, op6_bagminhash, op8_packing, op9_lines, op10_huffman)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_warc, op4_substring, op5_sharding, op6_bagminhash, op7_decontam, op8_packing, op9_lines, op10_huffman)}
+ORACLES = {"op7_decontam": OP7_SQL}
