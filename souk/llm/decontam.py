@@ -46,7 +46,8 @@ class Index:
         self.work = work = Work(docs.sparkSession, "postings")
         terms = phrases.select(F.explode("terms").alias("term")).union(docs.sparkSession.createDataFrame([(END,)], "term string")).distinct()
         self.terms = number_rows(work, terms, [], ["term"], "term_id", "terms").select("term", F.col("term_id").cast("int"))
-        tokens = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("at", "term"))
+        numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+        tokens = numbered.select("row", "doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("at", "term"))
         self.postings = work.save(tokens.join(self.terms, "term").select("row", "doc_id", "at", "term_id"), "index")
         counts = self.postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
         offsets = phrases.select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")).join(self.terms, "term").join(counts, "term_id")
@@ -128,7 +129,7 @@ sizes AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS phrase
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
 met AS (SELECT p.doc_id, p.s, p.n, w.item_id FROM places p JOIN windows w ON p.phrase = w.phrase AND p.n = w.n),
-hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS at FROM met) GROUP BY doc_id),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM met) GROUP BY doc_id),
 lists AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
