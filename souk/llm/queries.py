@@ -10,7 +10,8 @@ from souk.llm.packing import op8_packing
 from souk.llm.quality import op1_quality
 from souk.llm.sharding import op5_sharding
 from souk.llm.substring import op4_substring
+from souk.llm.toxicity import op2_toxicity
 from souk.llm.warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_warc, op4_substring, op5_sharding, op6_bagminhash, op7_decontam, op8_packing, op9_lines, op10_huffman)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_warc, op4_substring, op5_sharding, op6_bagminhash, op7_decontam, op8_packing, op9_lines, op10_huffman)}
 ORACLES = {"op7_decontam": OP7_SQL}
