@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
-
-_odd = re.compile(r"[ \n][ \n]|[^\S \n]").search
+#: What a text may not hold to be cut at single spaces and line ends alone.
+_ODD_ASCII = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_ODD_MORE = tuple("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 _pieces = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
 #: Marks that a byte-level tokenizer never joins to a letter before them.
 _MARKS = ".,;:!?%$&*#|()[]{}\"/+=<>~^@"
@@ -26,25 +29,32 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _odd(text: str) -> bool:
+    return any(x in text for x in _ODD_ASCII) or not text.isascii() and any(x in text for x in _ODD_MORE)
+
+
 class _Pieces(dict):
     """Ids of pieces as little-endian unsigned 32-bit integers; a piece is what ``before`` and the key make up."""
 
-    ROOM = 700_000
+    ROOM = 1_500_000
 
     def __init__(self, tokenizer, marks: _Pieces | None, before: str = ""):
         super().__init__()
-        self.tokenizer, self.marks, self.before = tokenizer, marks, before
-
-    def encode(self, key: str) -> bytes:
-        piece = key if key[:1] == "\n" else self.before + key
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes() if piece else b""
+        self.encode, self.marks, self.before = tokenizer.encode, marks, before
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.ROOM:
             self.clear()
-        stem = key.rstrip(_MARKS) if self.marks is not None else key
-        ids = self[stem] + self.marks[key[len(stem) :]] if stem != key and stem[-1:].isalpha() else self.encode(key)
-        self[key] = ids
+        if self.marks is not None:
+            stem = key.rstrip(_MARKS)
+            if stem != key and stem[-1:].isalpha():
+                known = stem in self
+                ids = self[stem] + self.marks[key[len(stem) :]]
+                if known:  # a word met once may well not come again with the same mark
+                    self[key] = ids
+                return ids
+        piece = key if key[:1] == "\n" else self.before + key
+        ids = self[key] = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes() if piece else b""
         return ids
 
 
