@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from souk.llm.common import Work, batches_of, number_rows
 
@@ -90,39 +91,45 @@ def _ranked(work: Work, rows: DataFrame, pair: list[str], level: int) -> DataFra
     return rows.join(groups, pair).select(*kept, "first", F.col("new_rank").alias("rank"))
 
 
+def _cut(text: str, windows: list[dict] | None) -> tuple[int, int, int, str]:
+    """(lines with a word, lines that went, stretches of them, the text that is left)."""
+    lines = text.encode().split(b"\n")
+    numbered = [i for i, line in enumerate(lines) if line and not line.isspace()]
+    if not windows:
+        return len(numbered), 0, 0, text
+    gone = np.zeros(len(numbered) + 1, np.int64)
+    for w in windows:
+        gone[w["line"]] += 1
+        gone[w["line"] + w["lines"]] -= 1
+    gone = np.cumsum(gone[:-1]) > 0
+    drop = {numbered[i] for i in np.flatnonzero(gone)}
+    runs = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
+    return len(numbered), len(drop), runs, b"\n".join(line for i, line in enumerate(lines) if i not in drop).decode()
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_runs, kept_text): every text without its later copies of repeated runs.
+    """(row, n_lines, n_removed, n_runs, kept_text): every text without its later copies of repeated runs.
 
-    n_lines counts lines with a word, n_runs the stretches of lines that went. Lines are equal if their words
-    are. A null text stays null and has no lines. A row with a null doc_id is compared with none. Of rows with
-    one doc_id and different texts the one with the lesser hash of its text comes first; rows that repeat both
-    are one document, and each returned. Other columns are left aside; an empty table gives an empty result.
+    ``row`` is the whole row as it came. n_lines counts lines with a word, n_runs the stretches of lines that
+    went. Lines are equal if their words are. A null text stays null and has no lines. A row with a null
+    doc_id is compared with none. Of rows with one doc_id and different texts the one with the lesser hash of
+    its text comes first; rows that repeat both are one document, and each returned. An empty table gives an
+    empty result.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept_text", pa.string())])
+    found = ["n_lines long", "n_removed long", "n_runs long", "kept_text string"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text is None:
-                    yield doc_id, 0, 0, 0, None
-                    continue
-                lines = text.encode().split(b"\n")
-                numbered = [i for i, line in enumerate(lines) if line and not line.isspace()]
-                n = len(numbered)
-                gone = np.zeros(n + 1, np.int64)
-                for w in windows or ():
-                    gone[w["line"]] += 1
-                    gone[w["line"] + w["lines"]] -= 1
-                gone = np.cumsum(gone[:-1]) > 0
-                drop = {numbered[i] for i in np.flatnonzero(gone)}
-                runs = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if n else 0
-                kept = b"\n".join(line for i, line in enumerate(lines) if i not in drop).decode() if drop else text
-                yield doc_id, n, len(drop), runs, kept
-
-    joined = _texts(docs).join(later_copies(docs, min_words), ["doc_id", "text_key"], "left").select("doc_id", "text", "windows")
-    return joined.mapInArrow(lambda b: batches_of(cut(b), schema), "doc_id long, n_lines long, n_removed long, n_runs long, kept_text string")
+            parts = [(0, 0, 0, None) if text is None else _cut(text, windows) for text, windows in zip(batch.column("text").to_pylist(), batch.column("windows").to_pylist(), strict=True)]
+            columns = list(zip(*parts, strict=True)) if parts else [()] * 4
+            arrays = [batch.column("row"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", *(f.split()[0] for f in found)])
+
+    joined = rows.join(later_copies(docs, min_words), ["doc_id", "text_key"], "left").select("row", "text", "windows")
+    return joined.mapInArrow(cut, StructType([rows.schema["row"], *(StructField(f.split()[0], LongType() if f.endswith("long") else StringType()) for f in found)]))
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
     kept = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

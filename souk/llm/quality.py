@@ -184,6 +184,34 @@ class _Bins:
         return np.bincount(np.where(self.sorted[at] == hashes, self.order[at], self.n), minlength=self.n + 1)
 
 
+class _Rules:
+    """Verdicts on a batch's texts, one for each row and in order."""
+
+    def __init__(self, refs: dict, limits: Limits):
+        self.refs, self.limits = refs, limits
+        self.bins = {lang: _Bins(r[0]) for lang, r in refs.items()}
+
+    def __call__(self, langs: pa.Array, texts: pa.Array) -> Iterator[tuple]:
+        refs, limits, langs = self.refs, self.limits, langs.to_pylist()
+        for chunk, low in zip(chunks(texts), chunks(texts, PLAIN), strict=True):
+            of_classes = class_counts(chunk)
+            n_words, n_repeat = np.diff(chunk.first).tolist(), repeated_words(chunk).tolist()
+            n_symbols = sums(_is_symbol[chunk.data], chunk.offsets).tolist()
+            n_chars = sums(~SPACE[chunk.data] & (_table[chunk.data] < len(CLASSES)), chunk.offsets).tolist()
+            for i, n in enumerate(n_words):
+                lang = langs[chunk.row + i]
+                failed = n < limits.least_words or 100 * n_repeat[i] > limits.most_repeated_percent * n
+                against = [lang] if lang in refs else list(refs)
+                of_chars = of_words = None
+                if of_classes[i].sum() >= limits.least_chars_judged and against:
+                    of_chars = min(distance(of_classes[i], refs[x][2]) for x in against)
+                own = low.hashes[low.first[i] : low.first[i + 1]]
+                if len(own) >= limits.least_words_judged and against:
+                    of_words = min(distance(self.bins[x].histogram(own), refs[x][1]) for x in against)
+                far = (of_chars or 0) > limits.most_char_distance or (of_words or 0) > limits.most_word_distance + limits.word_distance_by_length / max(len(own), 1) ** 0.5
+                yield n, n_chars[i], n_symbols[i], dup_lines(chunk.bytes_of(i)), n_repeat[i], of_chars, of_words, failed, not failed and not far
+
+
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """A verdict on every row of ``docs`` (doc_id, text, lang; other columns are left aside).
 
@@ -195,29 +223,26 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     refs = references(docs, limits)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        bins = {lang: _Bins(r[0]) for lang, r in refs.items()}
+        rules = _Rules(refs, limits)
         for batch in batches:
-            ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for chunk, low in zip(chunks(batch.column(2)), chunks(batch.column(2), PLAIN), strict=True):
-                of_classes = class_counts(chunk)
-                n_words, n_repeat = np.diff(chunk.first).tolist(), repeated_words(chunk).tolist()
-                n_symbols = sums(_is_symbol[chunk.data], chunk.offsets).tolist()
-                n_chars = sums(~SPACE[chunk.data] & (_table[chunk.data] < len(CLASSES)), chunk.offsets).tolist()
-                for i, n in enumerate(n_words):
-                    lang = langs[chunk.row + i]
-                    failed = n < limits.least_words or 100 * n_repeat[i] > limits.most_repeated_percent * n
-                    against = [lang] if lang in refs else list(refs)
-                    of_chars = of_words = None
-                    if of_classes[i].sum() >= limits.least_chars_judged and against:
-                        of_chars = min(distance(of_classes[i], refs[x][2]) for x in against)
-                    own = low.hashes[low.first[i] : low.first[i + 1]]
-                    if len(own) >= limits.least_words_judged and against:
-                        of_words = min(distance(bins[x].histogram(own), refs[x][1]) for x in against)
-                    far = (of_chars or 0) > limits.most_char_distance or (of_words or 0) > limits.most_word_distance + limits.word_distance_by_length / max(len(own), 1) ** 0.5
-                    yield ids[chunk.row + i], n, n_chars[i], n_symbols[i], dup_lines(chunk.bytes_of(i)), n_repeat[i], of_chars, of_words, failed, not failed and not far
+            for doc_id, verdict in zip(batch.column(0).to_pylist(), rules(batch.column(1), batch.column(2)), strict=True):
+                yield doc_id, *verdict
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(lambda b: batches_of(rows(b), _arrow), _schema)
 
 
+def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``docs`` with a good verdict, all their columns kept."""
+    refs = references(docs, limits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = _Rules(refs, limits)
+        for batch in batches:
+            verdicts = rules(batch.column("lang").cast(pa.string()), batch.column("text").cast(pa.string()))
+            yield batch.filter(pa.array([v[-1] for v in verdicts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
