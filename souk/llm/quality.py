@@ -245,4 +245,4 @@ def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("char_distance", "word_distance")
