@@ -19,8 +19,8 @@ _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _ODD_MORE = tuple("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 _pieces = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
-#: Marks that a byte-level tokenizer never joins to a letter before them.
-_MARKS = ".,;:!?%$&*#|()[]{}\"/+=<>~^@"
+#: Marks that a byte-level tokenizer never joins to a letter before them; none that its special tokens have.
+_MARKS = ".,;:!?%$&*#()[]{}\"/+=~^@"
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
