@@ -35,7 +35,7 @@ from souk.llm.tokens import encoder, vocabulary_file
 
 MAGIC = b"SOUKHUF1"
 LIMIT = 18
-BLOCK = 1024
+BLOCK = 512
 #: Ids a file, after which a document begins a new one.
 SEGMENT = 2_000_000
 _head = struct.Struct("<8sIIQQQ")
@@ -107,15 +107,14 @@ def decode_bits(data: bytes, checkpoints: np.ndarray, n: int, lengths: np.ndarra
     spans = (1 << (limit - lengths[order].astype(np.int64))).astype(np.int64)
     filled = int(spans.sum())
     symbols[:filled], widths[:filled] = np.repeat(order, spans), np.repeat(lengths[order].astype(np.int64), spans)
-    raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint64)
-    windows = (raw[:-4] << np.uint64(32)) | (raw[1:-3] << np.uint64(24)) | (raw[2:-2] << np.uint64(16)) | (raw[3:-1] << np.uint64(8)) | raw[4:]
+    windows = np.ndarray((len(data) + 8,), ">u8", buffer=data + bytes(16), strides=(1,))  # 64 bits from each byte on
     at = checkpoints.astype(np.int64)
     out = np.zeros((len(at), block), np.uint32)
     mask = np.uint64((1 << limit) - 1)
     for step in range(min(block, n)):
         if n - step <= (len(at) - 1) * block:
             at = at[:-1]  # the last block is shorter
-        code = (windows[at >> 3] >> (40 - (at & 7) - limit).astype(np.uint64)) & mask
+        code = (windows[at >> 3].astype(np.uint64) >> (64 - (at & 7) - limit).astype(np.uint64)) & mask
         out[: len(at), step] = symbols[code]
         at = at + widths[code]
     return out.reshape(-1)[:n]
@@ -164,7 +163,8 @@ def _tokenise(docs: DataFrame, work: Work, path: str, end_id: int) -> DataFrame:
             with store.open_output_stream(f"{folder}/{name}") as out:
                 out.write(np.array([len(doc_ids)], "<i8").tobytes())
                 out.write(np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array([x is None for x in doc_ids], "u1").tobytes() + np.array([len(x) // 4 for x in held], "<i8").tobytes())
-                out.write(zlib.compress(ids.astype("<u2" if ids.max(initial=0) < 65536 else "<u4").tobytes(), 1))
+                out.write(np.array([2 if ids.max(initial=0) < 65536 else 4], "u1").tobytes())
+                out.write(pa.compress(ids.astype("<u2" if ids.max(initial=0) < 65536 else "<u4").tobytes(), codec="zstd", asbytes=True))
             return part, segment, name, len(ids), zlib.compress(np.bincount(ids).astype("<i8").tobytes(), 1)
 
         for batch in batches:
@@ -186,9 +186,9 @@ def _read_raw(store, path: str) -> tuple[list, list[int], np.ndarray]:
     with store.open_input_stream(path) as source:
         n = int(np.frombuffer(source.read(8), "<i8")[0])
         doc_ids, null, sizes = np.frombuffer(source.read(8 * n), "<i8"), np.frombuffer(source.read(n), "u1"), np.frombuffer(source.read(8 * n), "<i8")
-        raw = zlib.decompress(source.read())
-    total = int(sizes.sum())
-    return [None if x else d for d, x in zip(doc_ids.tolist(), null, strict=True)], sizes.tolist(), np.frombuffer(raw, "<u2" if len(raw) == 2 * total else "<u4")
+        width, packed = source.read(1)[0], source.read()
+    raw = pa.decompress(packed, decompressed_size=width * int(sizes.sum()), codec="zstd", asbytes=True)
+    return [None if x else d for d, x in zip(doc_ids.tolist(), null, strict=True)], sizes.tolist(), np.frombuffer(raw, f"<u{width}")
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tuple[Work, DataFrame]:
