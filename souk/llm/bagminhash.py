@@ -12,9 +12,11 @@ nearly all shingles of a long document stop at their first points.
 
 Signatures are cut into BANDS bands of ROWS components (a pair at similarity 0.8 is missed with a
 probability of 3e-6). Documents that agree in a band are a bucket. No bucket is expanded into pairs: each
-member is verified exactly against the bucket's leader. A member that isn't similar to the leader is held
-against those other members that the triangle inequality of the Jaccard distance leaves possible, so every
-bucket's similar texts end up connected. Copies of one text are one node from the start.
+member is verified exactly against the bucket's leader, its member with the most company over all bands (the
+original of a group of near copies has more than each copy), and verified links make components. A member
+that isn't similar to the leader is then held against those other members that are in another component and
+that the triangle inequality of the Jaccard distance leaves possible, so every bucket's similar texts end up
+connected. Copies of one text are one node from the start.
 """
 
 from __future__ import annotations
@@ -164,9 +166,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     signed = work.save(sign(texts), "signed")
     exploded = signed.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
     exploded = work.save(exploded, "keys")
-    leaders = exploded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
-    members = work.save(exploded.join(leaders, "key").where("node <> leader"), "members")
-    work.drop("keys")
+    sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = work.save(exploded.join(sizes, "key"), "shared")
+    popular = shared.groupBy("node").agg(F.sum("n").alias("popularity"))
+    leaders = shared.join(popular, "node").groupBy("key").agg(F.max(F.struct("popularity", "node")).alias("leader")).select("key", F.col("leader.node").alias("leader"))
+    members = work.save(shared.join(leaders, "key").where("node <> leader").select("key", "leader", "node"), "members")
+    work.drop("keys", "shared")
     stars = work.save(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     among = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one_each = signed.join(among, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -175,21 +180,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sets = work.save(multisets(chosen.unionByName(unnamed)), "sets")
     known = work.save(distances(stars, sets), "known")
     most = 1 - similarity + 1e-9
+    first = components(known.where(F.col("distance") <= most).select("a", "b"), work, "first")
     placed = members.join(known.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"])
-    failed = placed.where(F.col("distance") > most).select("key", F.col("node").alias("a"), F.col("distance").alias("of_a"))
-    others = placed.select("key", F.col("node").alias("b"), F.col("distance").alias("of_b"))
-    possible = failed.join(others, "key").where((F.col("a") != F.col("b")) & (F.abs(F.col("of_a") - F.col("of_b")) <= most) & ((F.col("of_b") <= most) | (F.col("a") < F.col("b"))))
-    possible = possible.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = work.save(placed.join(first, "node", "left").select("key", "node", "distance", F.coalesce("component", "node").alias("of")), "placed")
+    failed = placed.where(F.col("distance") > most).select("key", F.col("node").alias("a"), F.col("distance").alias("of_a"), F.col("of").alias("in_a"))
+    others = placed.select("key", F.col("node").alias("b"), F.col("distance").alias("of_b"), F.col("of").alias("in_b"))
+    apart = (F.col("in_a") != F.col("in_b")) & (F.abs(F.col("of_a") - F.col("of_b")) <= most) & ((F.col("of_b") <= most) | (F.col("a") < F.col("b")))
+    possible = failed.join(others, "key").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     possible = possible.join(known.select("a", "b"), ["a", "b"], "left_anti")
     more = work.save(distances(work.save(possible, "possible"), sets), "more")
-    links = known.unionByName(more).where(F.col("distance") <= most).select("a", "b")
+    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.where(F.col("distance") <= most).select("a", "b"))
     found = components(links, work)
     of_node = signed.select("node", "doc_id").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     classes = of_node.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = of_node.join(classes, "component").select("doc_id", "class_id")
     out = named.unionByName(docs.where("text IS NULL").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id")))
     out = work.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))), "classes")
-    work.drop("signed", "members", "stars", "sets", "known", "possible", "more")
+    work.drop("signed", "members", "stars", "sets", "known", "placed", "possible", "more")
     return out
 
 
