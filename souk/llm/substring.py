@@ -7,7 +7,7 @@ two documents or more are grouped:
 * Any window has one *anchor*: of its ANCHOR-word shingles the one with the least hash (the leftmost of
   equals). Equal windows have equal anchors, so a window is in no more documents than its anchor, and a
   count of anchors overestimates the window's. Neighbouring windows mostly share their anchor, which leaves
-  about a fifth as many to count.
+  about a quarter as many to count.
 * Every partition sketches its anchors by stripe (the hash's leading bits; the number of stripes grows with
   the corpus). The sketches of a stripe are merged into one count-min sketch (DEPTH rows of counters, as
   many as the stripe has entries times WIDTH). It never underestimates, so no repeated window is lost.
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from souk.llm.common import Chunk, Work, batches_of, chunks, mix, window_hashes
 
 SIZE = 13
-ANCHOR = 5
-DEPTH = 2
-WIDTH = 4
+ANCHOR = 8
+DEPTH = 3
+WIDTH = 8
 #: Entries a stripe has, about.
 STRIPE = 400_000
 
@@ -152,13 +152,14 @@ def later_windows(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> Da
     work = Work(docs.sparkSession, "substring")
     texts = _texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
-    stripes = 1 << max(0, (n_bytes // (25 * STRIPE)).bit_length())  # an anchor for some 25 bytes of text
+    stripes = 1 << max(0, (n_bytes // (20 * STRIPE)).bit_length())  # an anchor for some 20 bytes of text
     marked = work.save(repeated_anchors(texts.select("doc_id", "text"), stripes, size, anchor), "anchors")
     windows = work.save(windows_to_group(texts.join(marked, "doc_id"), size, anchor), "windows")
     first = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = work.save(first, "first")
     later = windows.join(first, ["high", "low"]).where("doc_id > first")
     out = work.save(later.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("places")).alias("places")), "later")
-    work.drop("anchors", "windows")
+    work.drop("anchors", "windows", "first")
     return out
 
 
