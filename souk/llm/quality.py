@@ -6,8 +6,11 @@ all others. A document's own histograms are held against them by the Jensen-Shan
 root of the divergence in bits: 0 for equal shapes, 1 for disjoint ones). Chance alone moves a short text's
 histogram, so texts under a minimum length aren't judged, and the word limit shrinks with the length.
 
-Languages of less than 1/100 of all words (so more than 100 languages never have a reference), null and
-unknown ones are held against every reference, and the nearest counts.
+Every language of at least 30,000 words has a reference, whatever its share of the corpus: there a common word
+stands 100 times or more. With fewer, chance alone moves the reference (one of 10,000 words drops some 5 % of
+the documents that a full one keeps), so below that only languages of at least 1/100 of all words have one.
+Documents of other languages are never held against a foreign reference; they pass the divergence rule.
+Documents whose language is null are held against every reference, and the nearest counts.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import SPACE, Chunk, batches_of, chunks, mix
+from souk.llm.common import SPACE, Chunk, Work, batches_of, chunks, mix
 
 EDGES = ".,;:!?'\"()-"
 CLASSES = ("lower", "upper", "digit", "space", "line", "mark", "symbol", "other")
@@ -43,6 +46,7 @@ class Limits:
     word_distance_by_length: float = 2.2
     common_share: int = 300
     language_share: int = 100
+    least_reference_words: int = 30_000
 
 
 def _class_table() -> np.ndarray:
@@ -146,24 +150,22 @@ def language_counts(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[dict[str, int], np.ndarray, np.ndarray]]:
     """By language: the common words' places in the word histogram, that histogram, and the one of character classes.
 
-    Bounded by the shares in ``limits``: 100 languages of 300 words at most come to the driver.
+    A language takes a row of 300 words at most, some 10 KB; so many come to the driver as there are languages
+    of ``least_reference_words``, and at most 100 smaller ones.
     """
-    counts = language_counts(docs).cache()
-    try:
-        of_lang = counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("of_lang"))
-        of_all = of_lang.agg(F.sum("of_lang").alias("of_all")).collect()[0][0]
-        if not of_all:
-            return {}
-        kept = of_lang.where(F.col("of_lang") * limits.language_share >= of_all)
-        rows = counts.join(kept, "lang").where(f"kind = 'c' OR (key <> '' AND n * {limits.common_share} >= of_lang)").collect()
-    finally:
-        counts.unpersist()
+    work = Work(docs.sparkSession, "quality")
+    counts = work.save(language_counts(docs), "counts")
+    of_lang = counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("of_lang"))
+    of_all = of_lang.agg(F.sum("of_lang")).collect()[0][0] or 0
+    kept = of_lang.where((F.col("of_lang") >= limits.least_reference_words) | (F.col("of_lang") * limits.language_share >= of_all))
+    found = counts.join(F.broadcast(kept), "lang").where(f"kind = 'c' OR (key <> '' AND n * {limits.common_share} >= of_lang)")
+    rows = found.groupBy("lang", "of_lang").agg(F.collect_list(F.struct("kind", "key", "n")).alias("found")).collect()
+    work.drop("counts")
     out = {}
-    for lang in sorted({r.lang for r in rows}):
-        own = [r for r in rows if r.lang == lang]
+    for lang, of_lang, own in sorted(rows):
         common = sorted((r.key, r.n) for r in own if r.kind == "w")
         of_classes = {r.key: r.n for r in own if r.kind == "c"}
-        rest = own[0].of_lang - sum(n for _, n in common)
+        rest = of_lang - sum(n for _, n in common)
         out[lang] = ({w: i for i, (w, _) in enumerate(common)}, np.array([*(n for _, n in common), rest], float), np.array([of_classes.get(c, 0) for c in CLASSES], float))
     return out
 
@@ -189,7 +191,12 @@ class _Rules:
 
     def __init__(self, refs: dict, limits: Limits):
         self.refs, self.limits = refs, limits
-        self.bins = {lang: _Bins(r[0]) for lang, r in refs.items()}
+        self.bins: dict[str, _Bins] = {}
+
+    def bins_of(self, lang: str) -> _Bins:
+        if lang not in self.bins:
+            self.bins[lang] = _Bins(self.refs[lang][0])
+        return self.bins[lang]
 
     def __call__(self, langs: pa.Array, texts: pa.Array) -> Iterator[tuple]:
         refs, limits, langs = self.refs, self.limits, langs.to_pylist()
@@ -201,13 +208,13 @@ class _Rules:
             for i, n in enumerate(n_words):
                 lang = langs[chunk.row + i]
                 failed = n < limits.least_words or 100 * n_repeat[i] > limits.most_repeated_percent * n
-                against = [lang] if lang in refs else list(refs)
+                against = list(refs) if lang is None else [lang] if lang in refs else []
                 of_chars = of_words = None
                 if of_classes[i].sum() >= limits.least_chars_judged and against:
                     of_chars = min(distance(of_classes[i], refs[x][2]) for x in against)
                 own = low.hashes[low.first[i] : low.first[i + 1]]
                 if len(own) >= limits.least_words_judged and against:
-                    of_words = min(distance(self.bins[x].histogram(own), refs[x][1]) for x in against)
+                    of_words = min(distance(self.bins_of(x).histogram(own), refs[x][1]) for x in against)
                 far = (of_chars or 0) > limits.most_char_distance or (of_words or 0) > limits.most_word_distance + limits.word_distance_by_length / max(len(own), 1) ** 0.5
                 yield n, n_chars[i], n_symbols[i], dup_lines(chunk.bytes_of(i)), n_repeat[i], of_chars, of_words, failed, not failed and not far
 
@@ -216,9 +223,9 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """A verdict on every row of ``docs`` (doc_id, text, lang; other columns are left aside).
 
     A null text counts as an empty one: no words, so base_failed. Rows that repeat a doc_id are judged each by
-    itself, a null doc_id stays null. An empty table gives an empty result. Without any reference (no language
-    is known) the distances are 0 and the base rules alone decide. Distances of texts under the least lengths
-    are null and don't count against them.
+    itself, a null doc_id stays null. An empty table gives an empty result. Without a reference to be held
+    against the base rules alone decide. Distances of such texts and of those under the least lengths are null
+    and don't count against them.
     """
     refs = references(docs, limits)
 

@@ -90,6 +90,24 @@ def test_quality(docs):
     assert abs(quality.distance(np.array([1, 1]), np.array([1, 0])) - 0.5579230452841438) < 1e-12
 
 
+def test_quality_of_small_languages(spark):
+    rng = random.Random(4)
+
+    def text(prefix, n, sizes=60):
+        return " ".join(f"{prefix}{int(rng.paretovariate(0.9)) % sizes}" for _ in range(n))
+
+    rows = [(i, text("big", 10_000), "big") for i in range(20)]
+    rows += [(100 + i, text("small", 200), "small") for i in range(160)]
+    rows += [(300, text("junk", 200), "small"), (301, text("small", 200), None), (302, text("junk", 200), None)]
+    rows += [(400 + i, text(f"few{i}x", 60), "few") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.unionByName(docs.where("lang = 'big'").crossJoin(spark.range(19)).drop("id"))  # 4 million words, under 1 % of them small
+    limits = quality.Limits(most_repeated_percent=100)
+    assert set(quality.references(docs, limits)) == {"big", "small"}
+    kept = {r.doc_id for r in quality.judge(docs, limits).where("kept").collect()}
+    assert kept == {i for i, _, _ in rows} - {300, 302}
+
+
 def test_substring(docs):
     rows = [(i, WORD.findall(t or "")) for i, t in table(docs)]
     first: dict[tuple, int] = {}
