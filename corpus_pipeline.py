@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.llm import bagminhash, decontam, lines, packing, quality
-from souk.llm.common import Work
+from souk.llm.common import Work, number_rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +27,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest doc_id."""
-    kept = bagminhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each class of near duplicates stays, the one with the smallest doc_id (a null one is the largest)."""
+    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_key": F.xxhash64("text")})
+    rows = number_rows(Work(spark, "near"), keyed, [], ["_null", "doc_id", "_key"], "_number", "numbered")
+    kept = bagminhash.near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_number"))
+    return rows.join(kept, "_number", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """Rows with a window of a benchmark item go, each by its own text."""
+    rows = Work(spark, "decontaminated").save(docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    found = decontam.contamination(rows.select(F.col("_number").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_number"))
+    return rows.join(bad, "_number", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

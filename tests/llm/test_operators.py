@@ -415,3 +415,25 @@ def test_pipeline(spark, tmp_path):
     assert 100 not in seen[1] and set(range(60)) <= seen[1] and 102 in seen[2]
     assert 102 not in seen[3] and set(range(60)) <= seen[3] and seen[4] == seen[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_verdicts_of_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(rng.choice([f"w{i}" for i in range(300)]) for _ in range(100)) for _ in range(5))
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        return Counter((r.doc_id, r.text) for r in out.collect())
+
+    rows = [(None, a), (None, b + " " + leak), (7, c), (7, d + " " + leak), (8, e)]
+    assert left(corpus_pipeline.decontamination, rows) == Counter([(None, a), (7, c), (8, e)])
+    rows = [(3, a), (6, b), (6, a + " more"), (None, a), (None, c), (None, c + " more"), (9, d), (9, d)]
+    got = left(corpus_pipeline.near_dedup, rows)
+    assert sum(n for (_, t), n in got.items() if t.startswith(c)) == 1
+    assert Counter({k: n for k, n in got.items() if not k[1].startswith(c)}) == Counter([(3, a), (6, b), (9, d)])
