@@ -65,12 +65,13 @@ class Index:
         return self.offsets.where(F.col("rarity") == rarity)
 
     def _rarest(self) -> DataFrame:
-        first = self.postings.join(self._of(0), "term_id").where("at >= offset")
+        """(phrase, size, row, start) by the rarest term; a start before the document's is negative."""
+        first = self.postings.join(self._of(0), "term_id")
         return first.select("phrase", "size", "row", (F.col("at") - F.col("offset")).alias("start"))
 
     def exact(self) -> DataFrame:
         """(phrase, size, row, start) of every occurrence."""
-        found = self._rarest()
+        found = self._rarest().where("start >= 0")
         for rarity in (1, 2):
             own = self._of(rarity)
             there = self.postings.join(own.select("term_id").distinct(), "term_id", "left_semi").select("row", "at", "term_id")
@@ -85,7 +86,7 @@ class Index:
         return met.where("n = size - 3").drop("n").unionByName(found.where("size <= 3"))
 
     def proximity(self, slop: int) -> DataFrame:
-        """(phrase, size, row, start) where every term is within ``slop`` places of where the phrase has it."""
+        """(phrase, size, row, start) where every term is within ``slop`` places of where the phrase has it; start may be negative."""
         found = self._rarest().distinct()
         rest = self.offsets.where("rarity > 0").select("phrase", "offset", "term_id")
         near = found.join(rest, "phrase").join(self.postings.select("row", "at", "term_id"), ["row", "term_id"]).where(F.abs(F.col("at") - F.col("start") - F.col("offset")) <= slop)

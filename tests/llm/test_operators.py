@@ -229,6 +229,15 @@ def test_proximity(spark):
     assert 3 not in {ids[r.row] for r in index.proximity(2).collect()}
 
 
+def test_proximity_at_the_start(spark):
+    texts = spark.createDataFrame([(1, "alpha gamma beta"), (2, "alpha beta x alpha beta"), (3, "x alpha gamma beta")], "doc_id long, text string")
+    phrases = decontam.item_phrases(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")).select("phrase", "terms")
+    index = decontam.Index(texts, phrases)
+    ids = {r.row: r.doc_id for r in index.documents().collect()}
+    assert {(ids[r.row], r.start) for r in index.proximity(2).collect()} == {(1, -1), (3, 0)}
+    assert index.exact().count() == 0
+
+
 def test_tokens_are_the_librarys(docs):
     from tokenizers import Tokenizer
 
