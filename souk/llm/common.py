@@ -91,7 +91,9 @@ def number_rows(work: Work, df: DataFrame, keys: list[str], order: list[str], ou
     counts = table.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = table.join(F.broadcast(counts), [*keys, "_part"]).withColumn(out, F.col("_base") + F.col("_at") - F.col("_first"))
+    if not keys:  # a row for each range
+        counts = F.broadcast(counts)
+    numbered = table.join(counts, [*keys, "_part"]).withColumn(out, F.col("_base") + F.col("_at") - F.col("_first"))
     return numbered.drop("_at", "_part", "_first", "_base")
 
 
@@ -128,7 +130,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SHORT = 64
 _BYTE_VALUES = odd_constants(256, 11)
 _PLACE_VALUES = odd_constants(_SHORT, 23)
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -231,9 +233,9 @@ def chunks(array: pa.Array, table: bytes | None = None, size: int = _CHUNK) -> I
         row = to
 
 
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
+def sliced(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some rows, so that Python holds few of its values at once."""
+    return (batch.slice(lo, rows) for lo in range(0, len(batch), rows))
 
 
 def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:

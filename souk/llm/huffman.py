@@ -30,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import Work, batches_of, filesystem
+from souk.llm.common import Work, batches_of, filesystem, sliced
 from souk.llm.tokens import encoder, vocabulary_file
 
 MAGIC = b"SOUKHUF1"
 LIMIT = 18
 BLOCK = 512
+#: Blocks that are coded, or decoded, together.
+AT_ONCE, READ_AT_ONCE = 128, 4096
 #: Ids a file, after which a document begins a new one.
 SEGMENT = 2_000_000
 _head = struct.Struct("<8sIIQQQ")
@@ -80,43 +82,66 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
-    """The bit stream, and the first bit of every block."""
-    widths = lengths[ids].astype(np.int64)
-    ends = np.cumsum(widths)
+    """The bit stream, and the first bit of every block.
+
+    AT_ONCE blocks are coded together; each such stretch begins on a whole byte.
+    """
+    parts, checkpoints, done = [], [], 0
+    for lo in range(0, len(ids), AT_ONCE * block):
+        data, starts = _encode_stretch(ids[lo : lo + AT_ONCE * block], lengths, codes)
+        parts.append(data)
+        checkpoints.append(starts[::block] + 8 * done)
+        done += len(data)
+    return b"".join(parts), np.concatenate(checkpoints).astype(np.uint64) if checkpoints else np.zeros(0, np.uint64)
+
+
+def _encode_stretch(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Bits of some ids, filled up to a whole byte, and the first bit of each id."""
+    widths = lengths[ids]
+    ends = np.cumsum(widths, dtype=np.int64)
     starts = ends - widths
-    n_bits = int(ends[-1]) if len(ids) else 0
-    words = np.zeros(n_bits // 32 + 2, np.uint64)
+    words = np.zeros(int(ends[-1]) // 32 + 2, np.uint64)
     at = starts >> 5
     shifted = codes[ids].astype(np.uint64) << (64 - (starts & 31) - widths).astype(np.uint64)
     # Codes that start in one 32-bit word don't overlap, so their sum is their union.
     heads = np.flatnonzero(np.diff(at, prepend=-1))
-    if len(heads):
-        words[at[heads]] = np.add.reduceat(shifted, heads)
+    words[at[heads]] = np.add.reduceat(shifted, heads)
     low = np.zeros(len(words), np.uint64)
     low[1:] = words[:-1] & np.uint64(0xFFFFFFFF)
     merged = ((words >> np.uint64(32)) | low).astype(">u4")
-    return merged.tobytes()[: -(-n_bits // 8)], starts[::block].astype(np.uint64)
-
-
-def decode_bits(data: bytes, checkpoints: np.ndarray, n: int, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """All ids: every step decodes the next id of each block by one look-up."""
-    limit = max(1, int(lengths.max(initial=0)))
-    symbols, widths = np.zeros(1 << limit, np.uint32), np.zeros(1 << limit, np.int64)
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    spans = (1 << (limit - lengths[order].astype(np.int64))).astype(np.int64)
-    filled = int(spans.sum())
-    symbols[:filled], widths[:filled] = np.repeat(order, spans), np.repeat(lengths[order].astype(np.int64), spans)
-    windows = np.ndarray((len(data) + 8,), ">u8", buffer=data + bytes(16), strides=(1,))  # 64 bits from each byte on
-    at = checkpoints.astype(np.int64)
-    out = np.zeros((len(at), block), np.uint32)
-    mask = np.uint64((1 << limit) - 1)
-    for step in range(min(block, n)):
-        if n - step <= (len(at) - 1) * block:
-            at = at[:-1]  # the last block is shorter
-        code = (windows[at >> 3].astype(np.uint64) >> (64 - (at & 7) - limit).astype(np.uint64)) & mask
-        out[: len(at), step] = symbols[code]
-        at = at + widths[code]
+    return merged.tobytes()[: -(-int(ends[-1]) // 8)], starts
+
+
+class Table:
+    """The decoder's table: for every LIMIT bits (fewer if no code is as long) the id whose code they begin with, and its length."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.limit = max(1, int(lengths.max(initial=0)))
+        self.entries = np.zeros(1 << self.limit, np.uint32)  # id << 5 | length
+        used = np.flatnonzero(lengths)
+        order = used[np.argsort(lengths[used], kind="stable")]
+        own = lengths[order].astype(np.int64)
+        filled = np.repeat((order << 5 | own).astype(np.uint32), 1 << (self.limit - own))
+        self.entries[: len(filled)] = filled
+
+
+def decode_bits(data: bytes, checkpoints: np.ndarray, n: int, table: Table, block: int = BLOCK) -> np.ndarray:
+    """All ids: every step decodes the next id of each of READ_AT_ONCE blocks by one look-up."""
+    limit, entries = table.limit, table.entries
+    out = np.zeros((len(checkpoints), block), np.uint32)
+    padded = np.frombuffer(data + bytes(16), np.uint8)
+    windows = np.ndarray((len(data) + 8,), ">u8", buffer=padded, strides=(1,))  # 64 bits from each byte on
+    mask, five = np.uint64((1 << limit) - 1), np.uint32(31)
+    for lo in range(0, len(checkpoints), READ_AT_ONCE):
+        at = checkpoints[lo : lo + READ_AT_ONCE].astype(np.int64)
+        own, left = out[lo : lo + READ_AT_ONCE], n - lo * block
+        for step in range(min(block, left)):
+            if left - step <= (len(at) - 1) * block:
+                at = at[:-1]  # the last block is shorter
+            code = (windows[at >> 3].astype(np.uint64) >> (64 - limit - (at & 7)).astype(np.uint64)) & mask
+            found = entries[code]
+            own[: len(at), step] = found >> np.uint32(5)
+            at = at + (found & five)
     return out.reshape(-1)[:n]
 
 
@@ -138,7 +163,7 @@ def read_file(source) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         return np.frombuffer(source.read(count * np.dtype(kind).itemsize), kind)
 
     lengths, doc_ids, null, sizes, checkpoints = array("u1", n_vocabulary), array("<i8", n_docs), array("u1", n_docs), array("<u8", n_docs), array("<u8", -(-n // block))
-    return [None if x else d for d, x in zip(doc_ids.tolist(), null, strict=True)], sizes.astype(np.int64), decode_bits(source.read(n_bytes), checkpoints, n, lengths, block)
+    return [None if x else d for d, x in zip(doc_ids.tolist(), null, strict=True)], sizes.astype(np.int64), decode_bits(source.read(n_bytes), checkpoints, n, Table(lengths), block)
 
 
 _segment = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("file", pa.string()), ("n_ids", pa.int64()), ("counts", pa.binary())])
@@ -168,7 +193,7 @@ def _tokenise(docs: DataFrame, work: Work, path: str, end_id: int) -> DataFrame:
             return part, segment, name, len(ids), zlib.compress(np.bincount(ids).astype("<i8").tobytes(), 1)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in ((i, t) for part in sliced(batch) for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 doc_ids.append(doc_id)
                 held.append(ids_of(text or "") + end)
                 size += len(held[-1]) // 4
@@ -178,7 +203,7 @@ def _tokenise(docs: DataFrame, work: Work, path: str, end_id: int) -> DataFrame:
         if held:
             yield from batches_of([flush()], _segment)
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.xxhash64("text")).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").drop("key")
     return work.save(ordered.mapInArrow(write, "part int, segment int, file string, n_ids long, counts binary"), "segments")
 
 
@@ -215,6 +240,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tuple[Wo
     schema = pa.schema([f for f in _segment if f.name != "counts"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker that tokenised before needs that memory no more
         store, folder = filesystem(raw)
         target = filesystem(out)[1]
         store.create_dir(target, recursive=True)
@@ -232,8 +258,9 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tuple[Wo
 
 
 def _spread(rows: DataFrame) -> int:
-    """Tasks for rows that stand for a file each."""
-    return max(1, min(rows.count(), 10_000))
+    """Tasks for rows that stand for a file each: four files a task, once there are tasks for all cores."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // 4), min(n, 2 * cores))
 
 
 def read(work: Work, files: DataFrame) -> DataFrame:
@@ -252,7 +279,7 @@ def read(work: Work, files: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 with store.open_input_stream(f"{folder}/{row['file']}") as source:
                     doc_ids, sizes, ids = read_file(source)
-                raw, at = ids.astype("<u4").tobytes(), 0
+                raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
                 for doc_id, n in zip(doc_ids, sizes.tolist(), strict=True):
                     yield doc_id, row["first"] + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])
                     at += n

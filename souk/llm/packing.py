@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Work, batches_of, number_rows
+from souk.llm.common import Work, batches_of, number_rows, sliced
 from souk.llm.tokens import encoder, vocabulary_file
 
 CAPACITY = 2048
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         ids_of, end = encoder(path).ids, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in ((i, t) for part in sliced(batch) for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 ids = ids_of(text or "") + end
                 for k, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
                     yield doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])
