@@ -97,6 +97,26 @@ def number_rows(work: Work, df: DataFrame, keys: list[str], order: list[str], ou
     return numbered.drop("_at", "_part", "_first", "_base")
 
 
+def running_totals(work: Work, df: DataFrame, order: list[str], weight: str, out: str, name: str) -> DataFrame:
+    """``out``: the sum of ``weight`` (long) over all rows before, in ``order``. Rows are dealt by ranges, as in number_rows."""
+    schema = df.withColumn("_before", F.lit(0).cast("long")).schema
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = 0
+        for batch in batches:
+            own = batch.column(weight).to_numpy()
+            total = np.cumsum(own)
+            yield batch.append_column("_before", pa.array(carry + total - own))
+            carry += int(total[-1]) if len(total) else 0
+
+    table = df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(add, schema)
+    table = work.save(table.withColumn("_part", F.spark_partition_id()), name)
+    totals = table.groupBy("_part").agg(F.sum(weight).alias("_total"))  # a row for each range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    return table.join(F.broadcast(totals), "_part").withColumn(out, F.col("_base") + F.col("_before")).drop("_part", "_base", "_before")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection that spreads every bit."""
     with np.errstate(over="ignore"):

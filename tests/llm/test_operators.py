@@ -167,24 +167,28 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs(np.mean(found) - true) < 0.03
 
 
+def maximal_runs(texts, least=5):
+    """By enumeration: which lines (with a word) of each text lie in a run of ``least`` words that an earlier place has too."""
+    split = [[tuple(WORD.findall(x)) for x in t.split("\n") if WORD.search(x)] for t in texts]
+    seen, gone = defaultdict(set), [[False] * len(v) for v in split]
+    for d, v in enumerate(split):
+        for i in range(len(v)):
+            n = 0
+            while i + n < len(v) and tuple(v[i : i + n + 1]) in seen[n]:
+                n += 1
+            if sum(map(len, v[i : i + n])) >= least:
+                gone[d][i : i + n] = [True] * n
+            for m in range(len(v) - i):  # from here on the runs that begin here are earlier ones
+                seen[m].add(tuple(v[i : i + m + 1]))
+    return split, gone
+
+
 def test_lines(docs):
-    rows = sorted(table(docs), key=lambda r: (r[0] is not None, r[0] or 0))
     split = lambda t: [tuple(WORD.findall(x)) for x in t.split("\n") if WORD.search(x)]
-    own = {k: split(k[1]) for k in dict.fromkeys(rows) if k[0] is not None and k[1] is not None}
+    rows = sorted(table(docs), key=lambda r: (r[0] is not None, r[0] or 0))
+    own = [k for k in dict.fromkeys(rows) if k[0] is not None and k[1] is not None]
     # Two texts of one doc_id come in the order of their hashes; these two share no line.
-    gone = {k: [False] * len(v) for k, v in own.items()}
-    size, more = 1, True
-    while more:
-        seen, more = set(), False
-        for k, v in own.items():
-            for i in range(len(v) - size + 1):
-                w = tuple(v[i : i + size])
-                if w in seen:
-                    more = True
-                    if sum(map(len, w)) >= 5:
-                        gone[k][i : i + size] = [True] * size
-                seen.add(w)
-        size *= 2
+    gone = dict(zip(own, maximal_runs([t for _, t in own])[1], strict=True))
     want = sorted((str(d), len(split(t)) if t is not None else 0, sum(gone.get((d, t), []))) for d, t in rows)
     got = lines.dedup_lines(docs).collect()
     assert sorted((str(r.row.doc_id), r.n_lines, r.n_removed) for r in got) == want
@@ -195,6 +199,45 @@ def test_lines(docs):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_maximal_runs(spark, seed):
+    """Runs of every length, of short lines, inside one text and across texts."""
+    rng = random.Random(seed)
+    texts = ["x y\na b\nc d\nz w", "c c\nx y\na b\nc d\nq", "e\ne\ne\ne\ne\ne\ne\ne", "f\nf\nf\nf\ng", "two words\ntwo words\nthree words here", "h i\nj k\n" + "long " * 60, "h i\nj k\n" + "long " * 60]
+    runs = [[f"{rng.choice('abcdefgh')} {rng.choice('uv')}"[: rng.choice([1, 3])] for _ in range(rng.randint(1, 40))] for _ in range(8)]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            run = rng.choice(runs)
+            i = rng.randrange(len(run))
+            parts += run[i : rng.randint(i, len(run) - 1) + 1]
+        texts.append("\n".join(parts))
+    got = {r.row.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    split, gone = maximal_runs(texts)
+    assert sum(gone[1]) == 3 and sum(gone[5]) == 0
+    for d, (v, g) in enumerate(zip(split, gone, strict=True)):
+        assert [tuple(x.split()) for x in got[d].kept_text.split("\n") if x.strip()] == [x for x, y in zip(v, g, strict=True) if not y]
+        assert (got[d].n_removed, got[d].n_runs) == (sum(g), sum(y and not (i and g[i - 1]) for i, y in enumerate(g)))
+
+
+def test_nearest_earlier_by_ranges():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 40)
+        at, lcp = rng.sample(range(100), n), [0] + [rng.choice([0, 1, 2, 3, 9]) for _ in range(n - 1)]
+        want = [max([0, *(min(lcp[min(s, t) + 1 : max(s, t) + 1]) for s in range(n) if at[s] < at[t])]) for t in range(n)]
+        longest, opened, cuts = [], [], sorted(rng.sample(range(1, n), min(n - 1, rng.randint(0, 5))))
+        for lo, hi in zip([0, *cuts], [*cuts, n], strict=True):
+            part, unsettled = lines.nearest_earlier(at[lo:hi], lcp[lo:hi])
+            longest += part
+            opened += [lo + t for t in unsettled]
+        between = [min(lcp[max(lo + 1, 0) : hi + 1], default=0) for lo, hi in zip([-1, *opened[:-1]], opened, strict=True)]
+        rest, _ = lines.nearest_earlier([at[t] for t in opened], between)
+        for t, more in zip(opened, rest, strict=True):
+            longest[t] = max(longest[t], more)
+        assert longest == want
+
+
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, "w1 w2"), (2, None), (3, "!!"), (4, "the same last LINE of all texts and one more thing"), (5, "A, b c"), (5, "a b"), (None, "tail")], "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -446,3 +489,21 @@ def test_pipeline_verdicts_of_rows(spark, tmp_path):
     got = left(corpus_pipeline.near_dedup, rows)
     assert sum(n for (_, t), n in got.items() if t.startswith(c)) == 1
     assert Counter({k: n for k, n in got.items() if not k[1].startswith(c)}) == Counter([(3, a), (6, b), (9, d)])
+
+
+def test_sketches_of_partitions_sum_to_the_whole(spark):
+    rng = np.random.default_rng(2)
+    keys = common.mix(np.arange(5000, dtype=np.uint64))
+    one, two = keys[:3000], keys[2000:]
+    of = lambda k: substring.sketch(substring.counters(k, 1), np.zeros(len(k), np.int64))[2]
+    whole, merged = substring.merge(of(np.concatenate([one, two]))), substring.merge(of(one) + of(two))
+    assert (whole == merged).all()
+    estimate = merged[substring.counters(keys, 1).astype(np.int64)].min(axis=0)
+    assert (estimate[2000:3000] == 2).all() and (estimate >= 1).all() and (estimate[:2000] == 2).mean() < 0.05
+    texts = spark.createDataFrame([(i // 10, " ".join(f"w{rng.integers(0, 40)}" for _ in range(60))) for i in range(50)], "block long, text string")
+    sums = []
+    for n in (1, 7):
+        rows = substring.sketches(texts.repartition(n), 4).collect()
+        assert {r.stripe for r in rows} == {0, 1, 2, 3} and {r.block for r in rows} == set(range(5))
+        sums.append([substring.merge([r.counters for r in rows if r.stripe == s]) for s in range(4)])
+    assert all((a == b).all() for a, b in zip(*sums, strict=True))
