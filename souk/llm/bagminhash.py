@@ -13,10 +13,19 @@ nearly all shingles of a long document stop at their first points.
 Signatures are cut into BANDS bands of ROWS components (a pair at similarity 0.8 is missed with a
 probability of 3e-6). Documents that agree in a band are a bucket. No bucket is expanded into pairs: each
 member is verified exactly against the bucket's leader, its member with the most company over all bands (the
-original of a group of near copies has more than each copy), and verified links make components. A member
-that isn't similar to the leader is then held against those other members that are in another component and
-that the triangle inequality of the Jaccard distance leaves possible, so every bucket's similar texts end up
-connected. Copies of one text are one node from the start.
+original of a group of near copies has more than each copy), and verified links make components. Members that
+aren't similar to their leader elect a leader among themselves, ELECTIONS times. What is left are members that
+are in another component than others of the bucket; they meet these by what they differ in from the leader:
+
+    Let Dx be the difference of x and its leader L (what one has and the other lacks). With the least
+    similarity s and t = (1 - s) / (1 + s), x and y are similar if and only if |Dx ^ Dy| <= t (|x| + |y|),
+    that is if Dx and Dy share (w(x) + w(y)) / 2 elements, w(x) = |Dx| - t |x|. For x not similar to L,
+    w(x) > t |L|, and w(y) >= -t |L| for any y, so that every such pair shares some of its differences.
+
+So no pair is lost if members meet by the rarest elements of their differences (as many as leave fewer than
+they must share), and one whose position in both leaves too few isn't formed: changes that chance made in many
+copies of a text don't meet, and a bucket of any size stays far from all pairs. What meets is verified
+exactly. Copies of one text are one node from the start.
 """
 
 from __future__ import annotations
@@ -28,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Chunk, Work, chunks, mix, odd_constants, window_hashes
+from souk.llm.common import Chunk, Work, chunks, mix, odd_constants, to_batch, window_hashes
 from souk.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 42, 6
 M = BANDS * ROWS
+ELECTIONS = 2
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,20 +107,20 @@ def _node(text):
 
 
 def sign(texts: DataFrame) -> DataFrame:
-    """(node, doc_id, keys): the text's node, and its bands' keys (none without words)."""
-    schema = pa.schema([("node", pa.binary()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(node, keys): the text's node, and its bands' keys (none without words)."""
+    schema = pa.schema([("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(2), size=6 << 20):
+            for chunk in chunks(batch.column(1), size=3 << 20):
                 n = len(chunk)
                 keys = bands(signatures(*counted(*shingles(chunk)), n))
                 some = np.diff(chunk.first) > 0
                 offsets = np.concatenate([[0], np.cumsum(some * BANDS)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.row, n), batch.column(1).slice(chunk.row, n), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.row, n), lists], schema=schema)
 
-    return texts.select("node", "doc_id", "text").mapInArrow(run, "node binary, doc_id long, keys array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node binary, keys array<long>")
 
 
 def multisets(texts: DataFrame) -> DataFrame:
@@ -132,6 +142,12 @@ def multisets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, elements binary")
 
 
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with the multisets of both."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("elements").alias(f"of_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b")
+
+
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, distance) of pairs of nodes: one less their weighted Jaccard similarity, exactly."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("distance", pa.float64())])
@@ -139,64 +155,124 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                n = (len(x) + len(y)) // 8
-                both = np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")])
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                found.append(1 - shared / (n - shared))
+                found.append(1 - shared / (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], schema=schema)
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b")), "b")
-    return joined.select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary, distance double")
+    return _both(pairs.select("a", "b"), sets).select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary, distance double")
+
+
+def differences(stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, failed, size, weight, least, elements) of members b of leaders a that may be similar to another member of a.
+
+    ``weight`` is w of the module's text, ``size`` how many ``elements`` differ; a pair shares ``least`` of them at least.
+    """
+    t = (1 - similarity) / (1 + similarity)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("failed", pa.bool_()), ("size", pa.int32()), ("weight", pa.float64()), ("least", pa.int32()), ("elements", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b, failed, x, y in zip(*batch.columns, strict=True):
+                leader, own = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                differ = np.setxor1d(leader, own, assume_unique=True)
+                weight = len(differ) - t * len(own)
+                least = max(1, int(np.ceil((weight + (-t if failed.as_py() else t) * len(leader)) / 2 - 1e-6)))
+                if least <= len(differ):
+                    rows.append((a.as_py(), b.as_py(), failed.as_py(), len(differ), weight, least, differ.view(np.int64)))
+            if rows:
+                yield to_batch(rows, schema)
+
+    found = _both(stars, sets).select("a", "b", "failed", "of_a", "of_b")
+    return found.mapInArrow(run, "a binary, b binary, failed boolean, size int, weight double, least int, elements array<long>")
+
+
+def possible_pairs(found: DataFrame, of: DataFrame, work: Work) -> DataFrame:
+    """(a, b) of members of one leader, in different components, that share enough of their differences to be similar, as far as positions tell."""
+    found = work.save(found.join(of.withColumnRenamed("node", "b"), "b", "left").withColumn("in", F.coalesce("component", "b")).drop("component"), "differences")
+    each = found.select("a", "b", F.explode("elements").alias("element"))
+    often = each.groupBy("a", "element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # one that a member has alone meets nobody
+    shared = each.join(often, ["a", "element"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("shared"))
+    # Elements of one member alone come first in its order, so the shared ones start behind them.
+    alone = F.col("size") - F.size("shared")
+    prefix = F.greatest(F.lit(0), F.col("size") - F.col("least") + 1 - alone).cast("int")
+    rows = found.drop("elements").join(shared, ["a", "b"]).withColumn("alone", alone)
+    rows = rows.select("a", "b", "failed", "size", "weight", "in", "alone", F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("at", "e"))
+    rows = work.save(rows.select("a", "b", "failed", "weight", "in", F.col("e.element").alias("element"), (F.col("size") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
+    x = rows.where("failed").select("a", "element", F.col("b").alias("x"), F.col("weight").alias("of_x"), F.col("in").alias("in_x"), F.col("left").alias("left_x"))
+    y = rows.select("a", "element", F.col("b").alias("y"), F.col("weight").alias("of_y"), F.col("in").alias("in_y"), F.col("left").alias("left_y"), F.col("failed").alias("failed_y"))
+    enough = 2 * F.least("left_x", "left_y") >= F.col("of_x") + F.col("of_y") - 1e-6
+    met = x.join(y, ["a", "element"]).where((F.col("in_x") != F.col("in_y")) & enough & (~F.col("failed_y") | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """(key, leader, node): of the members (key, node, popularity) of every bucket the most popular one, and each other member."""
+    leaders = members.groupBy("key").agg(F.max_by("node", F.struct("popularity", "node")).alias("leader"))
+    return members.join(leaders, "key").where("node <> leader")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept): each row's class of near duplicates, named by its smallest doc_id.
 
     Two texts are linked if the multisets of their shingles are similar; classes are what links connect.
-    Equal texts are in one class, those without words too; a null text is a class of its own. kept holds for
+    Equal texts (and rows that repeat wholly) are in one class, those without words too; a null text is a class
+    of its own. A text of fewer than WORDS words is one shingle; a very long one is taken whole. kept holds for
     the row that names its class (for each of them where rows repeat a doc_id). A null doc_id names a class
     only if all of the class are null. Other columns are left aside; an empty table gives an empty result.
     """
     work = Work(docs.sparkSession, "bagminhash")
+    most = 1 - similarity + 1e-9
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), _node(text).alias("node"))
     texts = rows.where("text IS NOT NULL")
-    signed = work.save(sign(texts), "signed")
-    exploded = signed.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    exploded = work.save(exploded, "keys")
-    sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = work.save(exploded.join(sizes, "key"), "shared")
+    # Of each text one row, that with the smallest doc_id: the others are copies of a node.
+    nodes = work.save(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    one_each = texts.join(nodes.where("doc_id IS NOT NULL"), ["node", "doc_id"], "left_semi").groupBy("node", "doc_id").agg(F.first("text").alias("text"))
+    unnamed = texts.where("doc_id IS NULL").join(nodes.where("doc_id IS NULL"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    one_each = work.save(one_each.select("node", "text").unionByName(unnamed), "texts")
+    signed = work.save(sign(one_each).select("node", F.explode("keys").alias("key")), "keys")
+    sizes = signed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = work.save(signed.join(sizes, "key"), "shared")
     popular = shared.groupBy("node").agg(F.sum("n").alias("popularity"))
-    leaders = shared.join(popular, "node").groupBy("key").agg(F.max(F.struct("popularity", "node")).alias("leader")).select("key", F.col("leader.node").alias("leader"))
-    members = work.save(shared.join(leaders, "key").where("node <> leader").select("key", "leader", "node"), "members")
+    members = work.save(_led(shared.join(popular, "node").select("key", "node", "popularity")), "members-0")
     work.drop("keys", "shared")
-    stars = work.save(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    among = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one_each = signed.join(among, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = texts.join(one_each.where("doc_id IS NOT NULL"), ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
-    unnamed = texts.where("doc_id IS NULL").join(one_each.where("doc_id IS NULL"), "node", "left_semi").dropDuplicates(["node"])
-    sets = work.save(multisets(chosen.unionByName(unnamed)), "sets")
-    known = work.save(distances(stars, sets), "known")
-    most = 1 - similarity + 1e-9
-    first = components(known.where(F.col("distance") <= most).select("a", "b"), work, "first")
-    placed = members.join(known.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"])
-    placed = work.save(placed.join(first, "node", "left").select("key", "node", "distance", F.coalesce("component", "node").alias("of")), "placed")
-    failed = placed.where(F.col("distance") > most).select("key", F.col("node").alias("a"), F.col("distance").alias("of_a"), F.col("of").alias("in_a"))
-    others = placed.select("key", F.col("node").alias("b"), F.col("distance").alias("of_b"), F.col("of").alias("in_b"))
-    apart = (F.col("in_a") != F.col("in_b")) & (F.abs(F.col("of_a") - F.col("of_b")) <= most) & ((F.col("of_b") <= most) | (F.col("a") < F.col("b")))
-    possible = failed.join(others, "key").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    possible = possible.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = work.save(distances(work.save(possible, "possible"), sets), "more")
-    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.where(F.col("distance") <= most).select("a", "b"))
-    found = components(links, work)
-    of_node = signed.select("node", "doc_id").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    among = members.select(F.explode(F.array("leader", "node")).alias("node")).distinct()
+    sets = work.save(multisets(one_each.join(among, "node", "left_semi")), "sets")
+    work.drop("texts")
+    known = None
+    for turn in range(ELECTIONS + 1):
+        stars = members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        if known is not None:
+            stars = stars.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        new = work.save(distances(stars, sets), f"known-{turn}")
+        known = new if known is None else known.unionByName(new)
+        if turn == 0:
+            first = members.select("key", "leader").distinct()
+        failed = members.join(known.where(F.col("distance") > most).select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_semi")
+        failed = failed.select("key", "node", "popularity")
+        if turn == 0:
+            left = work.save(failed.select("key", "node"), "failed")
+        if turn == ELECTIONS or (members := work.save(_led(failed), f"members-{turn + 1}")).isEmpty():
+            break
+    links = known.where(F.col("distance") <= most).select("a", "b")
+    found = components(links, work, "first")
+    # Stars of leaders with a member that isn't similar: those that failed, and all others of the same leader.
+    stars = known.join(left.join(first, "key").select(F.col("leader").alias("a")).distinct(), "a", "left_semi").withColumn("failed", F.col("distance") > most)
+    pairs = possible_pairs(differences(stars.select("a", "b", "failed"), sets, similarity), found, work)
+    more = work.save(distances(work.save(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "possible"), sets), "more")
+    links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.where(F.col("distance") <= most).select("a", "b"))
+    of_node = nodes.join(components(links, work), "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = of_node.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    named = of_node.join(classes, "component").select("doc_id", "class_id")
+    of_node = work.save(of_node.join(classes, "component").select("node", "class_id"), "of_node")
+    named = rows.where("text IS NOT NULL").select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id")
     out = named.unionByName(docs.where("text IS NULL").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id")))
     out = work.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))), "classes")
-    work.drop("signed", "members", "stars", "sets", "known", "placed", "possible", "more")
+    work.drop("nodes", "members-0", "sets", "failed", "possible", "more", "of_node", "differences", "prefixes", *(f"known-{i}" for i in range(turn + 1)), *(f"members-{i + 1}" for i in range(turn + 1)))
     return out
 
 

@@ -61,3 +61,46 @@ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS plac
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+#: base32 of a SHA-1, from its 40 hexadecimal digits: five of them are four characters.
+_base32 = "list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (g * 5 + 1)::INTEGER, 5))::BIGINT >> b) & 31)::INTEGER + 1, 1)), 'string_agg', '')), 'string_agg', '')"
+
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_base32} AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f
+"""
+
+#: Similar pairs by all shared shingles, and what links connect. Texts without words are linked to equal ones only.
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(text, '{_word}') AS w FROM documents WHERE text IS NOT NULL),
+shingles AS (SELECT doc_id, array_to_string(w[s : s + least(len(w), 5) - 1], ' ') AS k, least(len(w), 5) AS size
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+sets AS (SELECT doc_id, k, size, count(*) AS n FROM shingles GROUP BY ALL),
+totals AS (SELECT doc_id, sum(n) AS total FROM sets GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS n FROM sets a JOIN sets b ON a.k = b.k AND a.size = b.size AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN totals a ON a.doc_id = x JOIN totals b ON b.doc_id = y WHERE 5 * n >= 4 * (a.total + b.total - n)
+  UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.text = b.text),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.other = l.x)
+SELECT doc_id, min(other) AS class_id, doc_id = min(other) AS kept FROM reached GROUP BY doc_id
+"""
+
+#: A line goes if it lies in a run of at least five words that an earlier place has too. Of such a run some five lines
+#: around it have five words already (a line has one at least), so runs of up to five lines tell.
+OP9_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, pos, w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM (SELECT *, regexp_extract_all(raw, '{_word}') AS w FROM l) WHERE len(w) > 0),
+d AS (SELECT doc_id, list(array_to_string(w, ' ') ORDER BY i) AS lines, list(len(w) ORDER BY i) AS words FROM n GROUP BY 1),
+runs AS (SELECT doc_id, s, k, array_to_string(lines[s : s + k - 1], chr(10)) AS run FROM
+  (SELECT doc_id, lines, words, k, unnest(range(1, len(lines) - k + 2)) AS s FROM d, range(1, 6) AS sizes(k) WHERE len(lines) >= k) WHERE list_sum(words[s : s + k - 1]) >= 5),
+later AS (SELECT doc_id, s, k FROM (SELECT *, row_number() OVER (PARTITION BY k, run ORDER BY doc_id, s) AS nth FROM runs) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + k)) AS i FROM later),
+marked AS (SELECT n.doc_id, n.pos, n.i, gone.i IS NOT NULL AS g FROM n LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.i = n.i),
+steps AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
+counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g) AS n_removed, count(*) FILTER (begins) AS n_runs FROM steps GROUP BY 1),
+kept AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.pos) AS text FROM l LEFT JOIN marked m ON m.doc_id = l.doc_id AND m.pos = l.pos WHERE NOT coalesce(g, false) GROUP BY 1)
+SELECT o.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+  CASE WHEN o.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256
+FROM documents o LEFT JOIN counts ON counts.doc_id = o.doc_id LEFT JOIN kept ON kept.doc_id = o.doc_id
+"""
