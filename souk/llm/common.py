@@ -150,7 +150,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SHORT = 64
 _BYTE_VALUES = odd_constants(256, 11)
 _PLACE_VALUES = odd_constants(_SHORT, 23)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

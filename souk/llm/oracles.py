@@ -29,9 +29,9 @@ base AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_
     coalesce(n, 0)::BIGINT AS n_repeat_words, len(plain) AS n_plain, length(t) AS n_chars FROM d LEFT JOIN repeats USING (doc_id)),
 of_word AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(plain) AS word FROM d WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY 1, 2),
 of_lang AS (SELECT lang, sum(n) AS total FROM of_word GROUP BY 1),
-refs AS (SELECT lang, total FROM of_lang WHERE total * {_limits.language_share} >= (SELECT sum(total) FROM of_lang)),
+refs AS (SELECT lang, total FROM of_lang WHERE total >= {_limits.least_reference_words}),
 common AS (SELECT lang, word, n, total FROM of_word JOIN refs USING (lang) WHERE n * {_limits.common_share} >= total),
-pairs AS (SELECT doc_id, r.lang FROM base b JOIN refs r ON r.lang = b.lang OR b.lang IS NULL OR b.lang NOT IN (SELECT lang FROM refs)),
+pairs AS (SELECT doc_id, r.lang FROM base b JOIN refs r ON r.lang = b.lang OR b.lang IS NULL),
 of_doc AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(plain) AS word FROM d) GROUP BY 1, 2),
 bins AS (SELECT p.doc_id, p.lang, coalesce(x.n, 0) AS n, c.n AS m, c.total FROM pairs p JOIN common c USING (lang) LEFT JOIN of_doc x ON x.doc_id = p.doc_id AND x.word = c.word),
 all_bins AS (SELECT doc_id, lang, n / n_plain AS p, m / total AS q FROM bins JOIN (SELECT doc_id, n_plain FROM base WHERE n_plain > 0) USING (doc_id)

@@ -8,8 +8,10 @@ with the corpus: it sees at most ``capacity`` lengths.
 2. A configuration is a multiset of these sizes that fits. The linear programme that covers all large
    pieces with the fewest configurations is solved by column generation (a knapsack finds each column);
    whole parts are kept and what is left over is packed first-fit, longest first.
-3. Actual pieces take the places of rounded sizes, which leaves room in most sequences.
-4. Small pieces go, longest first, where they fit best: into the fullest sequence with room.
+3. Actual pieces take the places of rounded sizes, which leaves room in most sequences. Those that are filled
+   worse than a share of the capacity are dissolved again.
+4. Small pieces and those of dissolved sequences go, longest first, where they fit best: into the fullest
+   sequence with room. Of the SHARES tried the one that takes the fewest sequences wins.
 
 The plan is a list of runs: pieces of one length, numbered from ``rank`` on, go one each to consecutive
 sequences, all at one offset.
@@ -32,6 +34,8 @@ from souk.llm.tokens import encoder, vocabulary_file
 
 CAPACITY = 2048
 GROUPS = 24
+#: Sequences filled less than this are dissolved; the last dissolves all.
+SHARES = (0.0, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0, 1.01)
 _pieces = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -106,8 +110,54 @@ def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[t
     return out + [(config, 1) for _, config in rest]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, rank, n, sequence, offset) that place ``counts[length]`` pieces of each length."""
+def _filled(counts: dict[int, int], capacity: int, groups: int) -> list[tuple[int, list[int]]]:
+    """Configurations of rounded sizes with actual pieces in their places: (sequences, lengths in each)."""
+    large = sorted(((x, n) for x, n in counts.items() if capacity // 8 < x < capacity), reverse=True)
+    if not large:
+        return []
+    total = sum(n for _, n in large)
+    share = -(-total // min(groups, total))
+    members: list[list[list[int]]] = [[]]
+    full = 0
+    for length, n in large:
+        while n:
+            if full == share:
+                members.append([])
+                full = 0
+            m = min(n, share - full)
+            members[-1].append([length, m])
+            full, n = full + m, n - m
+    merged: list[list[list[int]]] = []
+    for group in members:
+        if merged and merged[-1][0][0] == group[0][0]:
+            merged[-1] += group
+        else:
+            merged.append(group)
+    sizes = [group[0][0] for group in merged]
+    out: list[tuple[int, list[int]]] = []
+    for config, times in configurations(sizes, [sum(n for _, n in group) for group in merged], capacity):
+        parts: list[tuple[int, list[int]]] = [(times, [])]
+        for j in (j for j, often in enumerate(config) for _ in range(often)):
+            found = []
+            for n, held in parts:
+                while n and merged[j]:
+                    length, there = merged[j][0]
+                    m = min(n, there)
+                    found.append((m, [*held, length]))
+                    n -= m
+                    if m == there:
+                        merged[j].pop(0)
+                    else:
+                        merged[j][0][1] -= m
+                if n:
+                    found.append((n, held))
+            parts = found
+        out += [(n, held) for n, held in parts if held]
+    return out
+
+
+def _best_fit(counts: dict[int, int], kept: list[tuple[int, list[int]]], capacity: int) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """The number of sequences, and the runs: those that are kept, and all other pieces, longest first, where they fit best."""
     runs: list[tuple[int, int, int, int, int]] = []
     next_rank: dict[int, int] = defaultdict(int)
     open_by_room: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -124,54 +174,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
                 insort(rooms, room)
             open_by_room[room].append((sequence, n))
 
-    if n := counts.get(capacity, 0):
-        place(capacity, n, 0, 0)
-        sequences = n
-    large = sorted(((x, n) for x, n in counts.items() if capacity // 8 < x < capacity), reverse=True)
-    if large:
-        total = sum(n for _, n in large)
-        share = -(-total // min(groups, total))
-        members: list[list[list[int]]] = [[]]
-        full = 0
-        for length, n in large:
-            while n:
-                if full == share:
-                    members.append([])
-                    full = 0
-                m = min(n, share - full)
-                members[-1].append([length, m])
-                full, n = full + m, n - m
-        merged: list[list[list[int]]] = []
-        for group in members:
-            if merged and merged[-1][0][0] == group[0][0]:
-                merged[-1] += group
-            else:
-                merged.append(group)
-        sizes = [group[0][0] for group in merged]
-        for config, times in configurations(sizes, [sum(n for _, n in group) for group in merged], capacity):
-            parts = [(sequences, times, 0)]
-            sequences += times
-            for j, often in enumerate(config):
-                for _ in range(often):
-                    filled = []
-                    for sequence, n, used in parts:
-                        while n and merged[j]:
-                            length, there = merged[j][0]
-                            m = min(n, there)
-                            place(length, m, sequence, used)
-                            filled.append((sequence, m, used + length))
-                            sequence, n = sequence + m, n - m
-                            if m == there:
-                                merged[j].pop(0)
-                            else:
-                                merged[j][0][1] -= m
-                        if n:
-                            filled.append((sequence, n, used))
-                    parts = filled
-            for sequence, n, used in parts:
-                leave(capacity - used, sequence, n)
-    for length in sorted((x for x in counts if x <= capacity // 8), reverse=True):
-        n = counts[length]
+    for n, held in kept:
+        offset = 0
+        for length in held:
+            place(length, n, sequences, offset)
+            offset += length
+        leave(capacity - offset, sequences, n)
+        sequences += n
+    for length in sorted(counts, reverse=True):
+        n = counts[length] - next_rank[length]
         while n:
             at = bisect_left(rooms, length)
             if at == len(rooms):
@@ -190,7 +201,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
                 place(length, m, sequence, capacity - room + t * length)
             leave(room - each * length, sequence, m)
             n -= m * each
-    return runs
+    return sequences, runs
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+    """Runs (length, rank, n, sequence, offset) that place ``counts[length]`` pieces of each length."""
+    parts = _filled(counts, capacity, groups)
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best: tuple[int, list] | None = None
+    for share in SHARES:
+        found = _best_fit(counts, [(n, held) for n, held in parts if sum(held) >= share * capacity], capacity)
+        if best is None or found[0] < best[0]:
+            best = found
+        if best[0] == least:
+            break
+    return best[1]
 
 
 def assign(numbered: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
@@ -213,7 +238,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: in
     """Where every piece of every document goes.
 
     A null text is an empty one: its sequence is the end id alone. Rows that repeat a doc_id are packed each
-    for itself, a null doc_id stays null; other columns are left aside. An empty table gives an empty result.
+    for itself, a null doc_id stays null; other columns are left aside. A very long text is cut into as many
+    pieces as it takes; pieces of one length are ranked by (doc_id, piece, checksum). An empty table gives an
+    empty result.
     """
     work = Work(docs.sparkSession, "packing")
     found = work.save(pieces(docs, path or vocabulary_file(), end_id, capacity), "pieces")

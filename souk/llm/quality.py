@@ -6,10 +6,10 @@ all others. A document's own histograms are held against them by the Jensen-Shan
 root of the divergence in bits: 0 for equal shapes, 1 for disjoint ones). Chance alone moves a short text's
 histogram, so texts under a minimum length aren't judged, and the word limit shrinks with the length.
 
-Every language of at least 30,000 words has a reference, whatever its share of the corpus: there a common word
+Every language of at least 30,000 words has a reference, whatever else the table holds: there a common word
 stands 100 times or more. With fewer, chance alone moves the reference (one of 10,000 words drops some 5 % of
-the documents that a full one keeps), so below that only languages of at least 1/100 of all words have one.
-Documents of other languages are never held against a foreign reference; they pass the divergence rule.
+the documents that a full one keeps), so documents of such a language, which are never held against a foreign
+reference, pass the divergence rule.
 Documents whose language is null are held against every reference, and the nearest counts.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import SPACE, Chunk, Work, batches_of, chunks, mix
+from souk.llm.common import SPACE, Chunk, Work, batches_of, chunks, mix, sliced
 
 EDGES = ".,;:!?'\"()-"
 CLASSES = ("lower", "upper", "digit", "space", "line", "mark", "symbol", "other")
@@ -45,7 +45,6 @@ class Limits:
     most_word_distance: float = 0.14
     word_distance_by_length: float = 2.2
     common_share: int = 300
-    language_share: int = 100
     least_reference_words: int = 30_000
 
 
@@ -138,9 +137,9 @@ def language_counts(docs: DataFrame) -> DataFrame:
                     counter = words[lang]
                     for a, b, k in zip(chunk.starts[at[first]].tolist(), chunk.ends[at[first]].tolist(), n.tolist(), strict=True):
                         counter[data[a:b]] += k
-                if sum(map(len, words.values())) > 500_000:
-                    yield from batches_of(held(), schema, 50_000)
-        yield from batches_of(held(), schema, 50_000)
+                if sum(map(len, words.values())) > 150_000:
+                    yield from batches_of(held(), schema, 10_000)
+        yield from batches_of(held(), schema, 10_000)
         yield from batches_of(((lang, "c", CLASSES[i], int(n)) for lang, c in classes.items() for i, n in enumerate(c)), schema)
 
     found = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, kind string, key string, n long")
@@ -150,15 +149,14 @@ def language_counts(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[dict[str, int], np.ndarray, np.ndarray]]:
     """By language: the common words' places in the word histogram, that histogram, and the one of character classes.
 
-    A language takes a row of 300 words at most, some 10 KB; so many come to the driver as there are languages
-    of ``least_reference_words``, and at most 100 smaller ones.
+    A language takes a row of 300 words at most, some 10 KB, and so many come to the driver as there are languages
+    of ``least_reference_words``.
     """
     work = Work(docs.sparkSession, "quality")
     counts = work.save(language_counts(docs), "counts")
     of_lang = counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("of_lang"))
-    of_all = of_lang.agg(F.sum("of_lang")).collect()[0][0] or 0
-    kept = of_lang.where((F.col("of_lang") >= limits.least_reference_words) | (F.col("of_lang") * limits.language_share >= of_all))
-    found = counts.join(F.broadcast(kept), "lang").where(f"kind = 'c' OR (key <> '' AND n * {limits.common_share} >= of_lang)")
+    kept = of_lang.where(F.col("of_lang") >= limits.least_reference_words)
+    found = counts.join(kept, "lang").where(f"kind = 'c' OR (key <> '' AND n * {limits.common_share} >= of_lang)")
     rows = found.groupBy("lang", "of_lang").agg(F.collect_list(F.struct("kind", "key", "n")).alias("found")).collect()
     work.drop("counts")
     out = {}
@@ -223,16 +221,16 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """A verdict on every row of ``docs`` (doc_id, text, lang; other columns are left aside).
 
     A null text counts as an empty one: no words, so base_failed. Rows that repeat a doc_id are judged each by
-    itself, a null doc_id stays null. An empty table gives an empty result. Without a reference to be held
-    against the base rules alone decide. Distances of such texts and of those under the least lengths are null
+    itself, a null doc_id stays null. A very long text is hashed in stretches. An empty table gives an empty
+    result. Without a reference to be held against the base rules alone decide. Distances of such texts and of those under the least lengths are null
     and don't count against them.
     """
     refs = references(docs, limits)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         rules = _Rules(refs, limits)
-        for batch in batches:
-            for doc_id, verdict in zip(batch.column(0).to_pylist(), rules(batch.column(1), batch.column(2)), strict=True):
+        for part in (x for batch in batches for x in sliced(batch)):
+            for doc_id, verdict in zip(part.column(0).to_pylist(), rules(part.column(1), part.column(2)), strict=True):
                 yield doc_id, *verdict
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(lambda b: batches_of(rows(b), _arrow), _schema)
@@ -244,9 +242,9 @@ def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = _Rules(refs, limits)
-        for batch in batches:
-            verdicts = rules(batch.column("lang").cast(pa.string()), batch.column("text").cast(pa.string()))
-            yield batch.filter(pa.array([v[-1] for v in verdicts], pa.bool_()))
+        for part in (x for batch in batches for x in sliced(batch)):
+            verdicts = rules(part.column("lang").cast(pa.string()), part.column("text").cast(pa.string()))
+            yield part.filter(pa.array([v[-1] for v in verdicts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

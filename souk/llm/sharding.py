@@ -2,9 +2,8 @@
 
 Groups of equal texts stay together. Sorted by size, each goes to the shard with the least load, found by a
 heap; a run of groups of one size is placed at once: the shards' next loads form arithmetic series, and the
-run takes the least of their elements, exactly as one by one. So the driver handles classes of sizes, never
-groups: sizes up to 4096 are classes of their own, greater ones share one if they agree in their 12 leading
-bits (some 100,000 classes for sizes up to 2**60; the load counted for such a group is its class's mean).
+run takes the least of their elements, exactly as one by one. So the driver handles different sizes, a row of
+16 bytes each and never more than the bytes of the largest group, instead of groups.
 """
 
 from __future__ import annotations
@@ -19,14 +18,12 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import Work, number_rows
 
-BITS = 12
 
-
-def schedule(classes: list[tuple[int, float, int]], shards: int) -> list[tuple[int, int, int]]:
-    """Of (class, size of each, number): (class, rank, shard), where ranks from this one on go to that shard."""
-    heap = [(0.0, i) for i in range(shards)]
+def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """Of (size, number of groups): (size, rank, shard), where the groups of that size from this rank on go to that shard."""
+    heap = [(0, i) for i in range(shards)]
     out = []
-    for key, size, n in sorted(classes, key=lambda c: (-c[1], c[0])):
+    for size, n in sorted(sizes, reverse=True):
         if n <= 4 * shards:
             given = [0] * shards
             for _ in range(n):
@@ -41,44 +38,37 @@ def schedule(classes: list[tuple[int, float, int]], shards: int) -> list[tuple[i
         rank = 0
         for i, k in enumerate(given):
             if k:
-                out.append((key, rank, i))
+                out.append((size, rank, i))
                 rank += k
     return out
 
 
-def _water(loads: dict[int, float], size: float, n: int) -> list[int]:
+def _water(loads: dict[int, int], size: int, n: int) -> list[int]:
     """How many of n equal groups each shard gets: nearly all by level, the last by the heap."""
-    level = (sum(loads.values()) + n * size) / len(loads)
-    open_shards = list(loads)
-    while True:  # shards above the level get none
-        under = [i for i in open_shards if loads[i] <= level]
-        if len(under) == len(open_shards):
-            break
-        open_shards = under
-        level = (sum(loads[i] for i in under) + n * size) / len(under)
+    total = n * size
+    open_shards = sorted(loads, key=loads.get)
+    while loads[open_shards[-1]] * len(open_shards) > total + sum(loads[i] for i in open_shards):  # shards above the level get none
+        open_shards.pop()
+    level = (total + sum(loads[i] for i in open_shards)) // len(open_shards)
     given = [0] * len(loads)
     for i in open_shards:
-        given[i] = max(0, int((level - loads[i]) / size) - 1)
+        given[i] = max(0, (level - loads[i]) // size - 1)
     heap = [(loads[i] + given[i] * size, i) for i in loads]
     heapq.heapify(heap)
     for _ in range(n - sum(given)):
-        load, i = heapq.heappop(heap)
+        load, i = heap[0]
         given[i] += 1
-        heapq.heappush(heap, (load + size, i))
+        heapq.heapreplace(heap, (load + size, i))
     return given
 
 
-def size_class(size):
-    """The column of sizes with all but the leading bits cleared."""
-    extra = F.greatest(F.length(F.bin(size)) - BITS, F.lit(0)).cast("int")
-    return F.expr("shiftleft(shiftright(_size, _extra), _extra)"), extra
-
-
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Put every document into a shard (law ``bytes``: shards' bytes are nearly equal).
 
     A null text has no bytes; null texts are a group of their own, apart from empty ones. Rows that repeat a
-    doc_id are rows of their own, a null doc_id stays null. An empty table gives an empty result.
+    doc_id are rows of their own, a null doc_id stays null. Groups of one size are ranked by the hash of their
+    text. A very long text is a size like any other; other columns are left aside. An empty table gives an
+    empty result.
     """
     work = Work(docs.sparkSession, "sharding")
     text = F.col("text").cast("string")
@@ -91,11 +81,11 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         ),
         "rows",
     )
-    klass, extra = size_class(F.col("_size"))
-    groups = rows.groupBy("group").agg(F.sum("size").alias("_size")).withColumn("_extra", extra).withColumn("class", klass).drop("_extra")
-    numbered = number_rows(work, groups, ["class"], ["group"], "rank", "groups")
-    classes = [(r["class"], r.total / r.n, r.n) for r in numbered.groupBy("class").agg(F.sum("_size").alias("total"), F.count(F.lit(1)).alias("n")).collect()]
-    placed = _assign(numbered, schedule(classes, shards))
+    groups = rows.groupBy("group").agg(F.sum("size").alias("of_group"))
+    numbered = number_rows(work, groups, ["of_group"], ["group"], "rank", "groups")
+    sizes = numbered.groupBy("of_group").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    runs = schedule(list(zip(*(c.to_pylist() for c in sizes.columns), strict=True)), shards)
+    placed = _assign(numbered, runs)
     found = rows.join(placed, "group").drop("group")
     out = number_rows(work, found, ["shard"], ["doc_id", "text_crc32", "size"], "slot", "shards")
     work.drop("rows", "groups")
@@ -103,16 +93,16 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def _assign(numbered: DataFrame, runs: list[tuple[int, int, int]]) -> DataFrame:
-    """Each group's shard, by its class and its number in the class."""
+    """Each group's shard, by its size and its number among those of that size."""
     table = np.array(sorted(runs), np.int64).reshape(-1, 3)
-    classes, first = np.unique(table[:, 0], return_index=True)
+    sizes, first = np.unique(table[:, 0], return_index=True)
     last = np.append(first[1:], len(table))
     schema = pa.schema([("group", pa.string()), ("shard", pa.int32())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, rank = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("class", "rank"))
-            at = np.searchsorted(classes, key)
+            key, rank = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("of_group", "rank"))
+            at = np.searchsorted(sizes, key)
             low, high = first[at], last[at]
             while (high - low > 1).any():  # the last run that starts at the rank or before it
                 middle = (low + high) // 2
@@ -120,7 +110,7 @@ def _assign(numbered: DataFrame, runs: list[tuple[int, int, int]]) -> DataFrame:
                 low, high = np.where(fits, middle, low), np.where(fits | (high - low <= 1), high, middle)
             yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(table[low, 2].astype(np.int32))], schema=schema)
 
-    return numbered.select("group", "class", "rank").mapInArrow(place, "group string, shard int")
+    return numbered.select("group", "of_group", "rank").mapInArrow(place, "group string, shard int")
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Words are compared by the subsequences of three letters that they share, however far apart the letters
 stand: each occurrence weighs DECAY to the power of the stretch that it spans (at most SPAN letters), so
 gapped and inserted letters cost similarity but don't hide a word. Before, a word is lowered, marks inside it
-go, digits that pass for letters are read as these, and letters spelled out one by one are joined.
+go, digits that pass for letters are read as these, and what white space or marks pull apart is joined as well:
+letters spelled out one by one, and neighbouring fragments of up to SHORT letters.
 
 The kernel of two words is the cosine c of their subsequences' weights, sharpened to exp(2 * SHARP * (c - 1)).
 It is approximated from landmarks (Nyström): a word's features are its kernels with some 160 landmark words,
@@ -14,8 +15,9 @@ multiple-instance machine of Andrews et al. 2003). Each round takes the worst wo
 document (of those that are ten times rarer in clean ones), words that hardly any clean one has, and the worst ones of the clean documents, and trains anew. A document's score is the logistic
 value, fitted on the training documents, of its worst word's margin.
 
-Training reads a bounded sample of labelled rows: TOXIC and CLEAN documents, those whose doc_id hashes
-least, and BAG words of each. Scoring reads every word of every text.
+Training reads a bounded sample of labelled rows, all their words: TOXIC and CLEAN documents, those whose doc_id
+hashes least. Scoring reads every word of every text. The kernel works on words and joined fragments, not on
+whole sentences: an insult is a word or two, and in a sentence's kernel the other hundred words drown it.
 """
 
 from __future__ import annotations
@@ -33,12 +35,13 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import batches_of
 
-TOXIC, CLEAN, BAG = 1500, 3000, 2000
-DECAY, SPAN, LONGEST = 0.7, 8, 24
+TOXIC, CLEAN = 1500, 3000
+DECAY, SPAN, LONGEST, SHORT = 0.7, 8, 24, 3
 SHARP, LANDMARKS, ROUNDS = 2.0, 160, 4
 _LETTERS = 64
 _read_as = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
-_spelled = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
+_spelled = re.compile(r"(?<!\S)\w(?:[\W_]+\w){2,}(?!\w)")
+_fragments = re.compile(r"(?<!\S)(?=([^\W\d_]{1,%d})\s+([^\W\d_]{1,%d})(?!\S))" % (SHORT, SHORT))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,10 +49,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def tokens(text: str) -> set[str]:
-    """The distinct words of a text, lowered; letters spelled out one by one count as a word too."""
+    """The distinct words of a text, lowered; letters spelled out one by one, and two short fragments, count as a word too."""
     low = text.lower()
     found = set(low.split())
-    found.update(x.replace(" ", "") for x in _spelled.findall(low))
+    found.update("".join(c for c in x if c.isalnum()) for x in _spelled.findall(low))
+    found.update(map("".join, set(_fragments.findall(low))))
     return found
 
 
@@ -252,20 +256,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = {p for w in tokens(text or "") for p in pieces(w) if len(p) >= 3}
-                yield toxic, sorted(words)[:: max(1, -(-len(words) // BAG))]
+                yield toxic, sorted({p for w in tokens(text or "") for p in pieces(w) if len(p) >= 3})
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id")
-    rows = chosen.select(F.col("toxic").cast("long"), "text").mapInArrow(lambda b: batches_of(bags(b), schema, 200), "toxic long, words array<string>").collect()
-    toxic, clean = ([r.words for r in rows if r.toxic == label] for label in (1, 0))
+    rows = chosen.select(F.col("toxic").cast("long"), "text").mapInArrow(lambda b: batches_of(bags(b), schema, 200), "toxic long, words array<string>").toArrow()
+    once: dict[str, str] = {}  # of equal words one stays in memory
+    by_label: tuple[list, list] = ([], [])
+    for label, words in zip(rows.column(0), rows.column(1), strict=True):
+        by_label[label.as_py()].append([once.setdefault(w, w) for w in words.as_py()])
+    clean, toxic = by_label
     return train(toxic, clean) if toxic and clean else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
-    A null text is an empty one; texts without words have the score of a word unlike any. Rows that repeat a
-    doc_id are scored each, a null doc_id stays null and isn't held out. Without a model (no labels of both
+    A null text is an empty one; texts without words have the score of a word unlike any, a very long word is
+    taken in overlapping stretches. Rows that repeat a doc_id are scored each, a null doc_id stays null and isn't held out. Without a model (no labels of both
     kinds to learn from) all scores are 0. Other columns are left aside; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])

@@ -34,6 +34,8 @@ from souk.llm.common import Work, batches_of, filesystem
 
 BLOCK = 1000
 ARCHIVE_BYTES = 32 << 20
+#: Bytes of records that a task of a look-up or of reading has to do with.
+TASK_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Stands for a null page_id in keys, before all others.
@@ -198,8 +200,10 @@ class Index:
 class Archive:
     """Archives with their index."""
 
-    def __init__(self, work: Work, shards: list[tuple[bytes, int, str]]):
+    def __init__(self, work: Work, shards: list[tuple[bytes, int, str]], n_bytes: int):
         self.work, self.shards = work, shards
+        #: Tasks by the bytes that lie behind the captures, which themselves are small.
+        self.tasks = 1 + n_bytes // TASK_BYTES
 
     @classmethod
     def write(cls, pages: DataFrame, least_bytes: int = 0) -> Archive:
@@ -207,13 +211,15 @@ class Archive:
 
         A null html is an empty payload; payloads of at least ``least_bytes`` are stored once. A row with a null
         page_id is a response of its own. Rows that repeat a page_id are all written; one with the smallest
-        page_id of its payload is a response. A null or odd URL is its own key. Empty tables give empty archives.
+        page_id of its payload is a response (rows that repeat it, with that payload, all are). A null or odd URL is
+        its own key; a very long html is one record. Empty tables give empty archives.
         """
         work = Work(pages.sparkSession, "warc")
         entries = write_archives(pages, work, least_bytes)
         shards = build_index(entries, work)
+        n_bytes = entries.agg(F.coalesce(F.sum("length"), F.lit(0))).collect()[0][0]
         work.drop("entries")
-        return cls(work, shards)
+        return cls(work, shards, n_bytes)
 
     def look_up(self, queries: DataFrame) -> DataFrame:
         """Captures of (url_key, page_id), or of a url_key where page_id is null: (url_key, page_id, file, at, length)."""
@@ -224,7 +230,7 @@ class Archive:
             for batch in batches:
                 yield from batches_of((tuple(x) for key, i in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in index.find(key, i)), _entry)
 
-        ordered = queries.select("url_key", "page_id").distinct().repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+        ordered = queries.select("url_key", "page_id").distinct().repartitionByRange(self.tasks, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
         return ordered.mapInArrow(search, _entry_ddl)
 
     def fetch(self, captures: DataFrame) -> DataFrame:
@@ -242,7 +248,7 @@ class Archive:
                         name, file = own, store.open_input_file(f"{folder}/{own}")
                     yield parse(file.read_at(n, at))
 
-        ordered = captures.select("file", "at", "length").repartitionByRange("file", "at").sortWithinPartitions("file", "at")
+        ordered = captures.select("file", "at", "length").repartitionByRange(self.tasks, "file", "at").sortWithinPartitions("file", "at")
         return ordered.mapInArrow(lambda b: batches_of(read(b), _found), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

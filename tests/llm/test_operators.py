@@ -103,7 +103,7 @@ def test_quality_of_small_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     docs = docs.unionByName(docs.where("lang = 'big'").crossJoin(spark.range(19)).drop("id"))  # 4 million words, under 1 % of them small
     limits = quality.Limits(most_repeated_percent=100)
-    assert set(quality.references(docs, limits)) == {"big", "small"}
+    assert set(quality.references(docs, limits)) == {"big", "small"}  # whatever their share of all words
     kept = {r.doc_id for r in quality.judge(docs, limits).where("kept").collect()}
     assert kept == {i for i, _, _ in rows} - {300, 302}
 
@@ -285,7 +285,9 @@ def test_tokens_are_the_librarys(docs):
     from tokenizers import Tokenizer
 
     own, library = tokens.encoder(tokens.vocabulary_file()), Tokenizer.from_file(tokens.vocabulary_file())
-    for text in [t or "" for _, t in table(docs)] + ["it's  don't 's", " lead", "trail \n", "a,.b c!! d'e.' f", "ñ ß 123abc 12.5, x's'.", "a\r\nb　c", "<|endoftext|> x<|endoftext|>."]:
+    rng, parts = random.Random(3), ["a", "Ünï", "<|endoftext|>", " ", "  ", "\n", "\n\n", "\t", "'s", "12", "²", ".", "!!", "\x85", "\u3000", "中", "\u0301", "don't", "Word", "_", "ʰ"]
+    mixed = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    for text in mixed + [t or "" for _, t in table(docs)] + ["it's  don't 's", " lead", "trail \n", "a,.b c!! d'e.' f", "ñ ß 123abc 12.5, x's'.", "a\r\nb　c", "<|endoftext|> x<|endoftext|>.", "a\n\n<|endoftext|>b", "a \x85<|endoftext|>\t<|endoftext|>"]:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
@@ -335,6 +337,57 @@ def test_packing_plan():
                 at += n
             assert at <= 64
     assert packing.plan({}) == []
+
+
+def n_sequences(runs):
+    return len({sequence + i for _, _, n, sequence, _ in runs for i in range(n)})
+
+
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        at = min((r, i) for i, r in enumerate(rooms) if r >= x)[1] if any(r >= x for r in rooms) else len(rooms)
+        if at == len(rooms):
+            rooms.append(capacity)
+        rooms[at] -= x
+    return len(rooms)
+
+
+def fewest(lengths, capacity):
+    """The fewest sequences, by trying all."""
+    lengths, best = sorted(lengths, reverse=True), best_fit_decreasing(lengths, capacity)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= lengths[i]:
+                put(i + 1, [*(r for j, r in enumerate(rooms) if j != rooms.index(room)), room - lengths[i]])
+        put(i + 1, [*rooms, capacity - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_packing_takes_few_sequences():
+    rng = random.Random(8)
+    for make in (lambda: rng.randint(300, 1300), lambda: min(2048, int(rng.lognormvariate(6.5, 0.9)) + 1), lambda: rng.randint(1, 2048), lambda: rng.choice([700, 701, 1030, 340])):
+        lengths = [make() for _ in range(1500)]
+        assert n_sequences(packing.plan(dict(Counter(lengths)))) <= best_fit_decreasing(lengths, 2048)
+    near = 0
+    for _ in range(60):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        got, want = n_sequences(packing.plan(dict(Counter(lengths)), 20)), fewest(lengths, 20)
+        assert got <= best_fit_decreasing(lengths, 20)
+        near += got == want
+    assert near >= 58
+
+
+def test_cut():
     assert [list(packing.cut(n, 4)) for n in (1, 4, 6, 9)] == [[(0, 1)], [(0, 4)], [(0, 2), (2, 4)], [(0, 1), (1, 4), (5, 4)]]
 
 
@@ -370,19 +423,20 @@ def test_huffman_files(docs):
 
 def test_schedule_is_longest_first():
     rng = random.Random(5)
-    for _ in range(100):
-        classes = [(s, float(s), rng.randint(1, 150)) for s in rng.sample(range(1, 300), rng.randint(1, 20))]
+    for turn in range(150):
+        most = rng.choice([300, 10**4, 10**7])  # sizes of any magnitude are exact
+        sizes = [(s, rng.randint(1, 150 if turn % 2 else 3)) for s in rng.sample(range(1, most), rng.randint(1, 20))]
         k = rng.randint(1, 16)
-        heap, want = [(0.0, i) for i in range(k)], Counter()
-        for key, size, n in sorted(classes, key=lambda c: -c[1]):
+        heap, want = [(0, i) for i in range(k)], Counter()
+        for size, n in sorted(sizes, reverse=True):
             for _ in range(n):
                 load, i = heapq.heappop(heap)
-                want[key, i] += 1
+                want[size, i] += 1
                 heapq.heappush(heap, (load + size, i))
-        runs, got, n_of = sharding.schedule(classes, k), Counter(), {c[0]: c[2] for c in classes}
-        for j, (key, rank, i) in enumerate(runs):
-            end = runs[j + 1][1] if j + 1 < len(runs) and runs[j + 1][0] == key else n_of[key]
-            got[key, i] += end - rank
+        runs, got, n_of = sharding.schedule(sizes, k), Counter(), dict(sizes)
+        for j, (size, rank, i) in enumerate(runs):
+            end = runs[j + 1][1] if j + 1 < len(runs) and runs[j + 1][0] == size else n_of[size]
+            got[size, i] += end - rank
         assert got == want
 
 
@@ -423,6 +477,40 @@ def test_warc(spark):
     assert empty.fetch(empty.look_up(warc.keys_of(pages))).count() == 0
 
 
+def test_kernel_by_enumeration():
+    """The kernel with landmarks against all subsequences of three letters, counted one by one."""
+    from itertools import combinations
+    from math import exp, sqrt
+
+    def vector(word):
+        out = Counter()
+        for i, j, k in combinations(range(len(word)), 3):
+            if k - i < toxicity.SPAN:
+                out[word[i], word[j], word[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def kernel(x, y):
+        a, b = vector(x), vector(y)
+        norm = sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        return exp(2 * toxicity.SHARP * ((sum(v * b[s] for s, v in a.items()) / norm if norm else 0) - 1))
+
+    rng = random.Random(4)
+    words = ["nitwit", "nitxwit", "nnitwit", "abab", "aaa", "aaaa", "ab", "", "blockhead", *("".join(rng.choice("abcdi") for _ in range(rng.randint(3, 14))) for _ in range(40))]
+    marks = toxicity.Landmarks(words[:9] + words[20:30])
+    got = marks.features(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks.words):
+            assert abs(got[i, j] - kernel(w, m)) < 1e-5, (w, m)
+    found = list(toxicity.subsequences(["abcabcab"]))
+    assert abs(toxicity._norms(found[0][1], found[0][2])[0] - sqrt(sum(v * v for v in vector("abcabcab").values()))) < 1e-6
+
+
+def test_what_is_pulled_apart_is_joined():
+    for text in ("n i t w i t", "n  i\tt w i t!", "n . i . t . w . i . t", "N-I-T-W-I-T", "x nit wit y", "nit\n wit"):
+        assert "nitwit" in {toxicity.letters(w) for w in toxicity.tokens(text)}, text
+    assert "thecat" in toxicity.tokens("the cat sat") and "catsat" in toxicity.tokens("the cat sat") and "catchair" not in toxicity.tokens("cat chair")
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice(["th", "er", "on", "an", "re", "in", "ed"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
@@ -446,6 +534,16 @@ def test_toxicity(spark):
     assert [r.predicted for r in got if r.doc_id is None] == [1]
     none = toxicity.score(docs, toxicity.fit(docs, marks.limit(0))).collect()
     assert {r.score for r in none} == {0.0}
+    odd = docs.selectExpr("doc_id", "text", "1 AS toxic", "'x' AS words", "0.5D AS score", "doc_id AS held_out")
+    model = toxicity.fit(odd, marks)
+    assert toxicity.score(odd, model).columns == ["doc_id", "held_out", "score", "predicted"]
+    assert toxicity.score(odd.limit(0), model).count() == 0 and toxicity.fit(odd.limit(0), marks) is None
+    long = [f"{w}{i}" for i, w in enumerate(words * 13)] + ["scumbag"]  # the telling word of a text of 5000 stays
+    assert "scumbag" in toxicity.tokens(" ".join(long))
+    some = docs.where("doc_id < 400 AND doc_id % 4 = 0 AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 0").limit(1).first().doc_id
+    more = docs.where(f"doc_id <> {some}").unionByName(spark.createDataFrame([(some, " ".join(long))], "doc_id long, text string"))
+    again = toxicity.score(more, toxicity.fit(more, marks)).where(f"doc_id = {some}").collect()
+    assert [r.predicted for r in again] == [1]
 
 
 def test_pipeline(spark, tmp_path):
