@@ -605,3 +605,35 @@ def test_sketches_of_partitions_sum_to_the_whole(spark):
         assert {r.stripe for r in rows} == {0, 1, 2, 3} and {r.block for r in rows} == set(range(5))
         sums.append([substring.merge([r.counters for r in rows if r.stripe == s]) for s in range(4)])
     assert all((a == b).all() for a, b in zip(*sums, strict=True))
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty and long texts, rows that repeat, columns with clashing names, and empty tables, at every stage."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda n: "\n".join(" ".join(rng.choice(["the", "of", *map(str, range(500))]) for _ in range(12)) for _ in range(n))
+    good, long = [text(10) for _ in range(6)], text(2000)
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [(i, t) for i, t in enumerate(good)] + [(None, text(10)), (None, None), (7, None), (8, ""), (9, long), (0, good[0]), (3, text(10)), (None, good[5] + "\n" + leak)]
+    schema = "doc_id long, text string, lang string, n_chars int, _kept int, _bad int, _number int, number int, row string, node int, unnamed int, kept boolean, runs int, id int"
+    docs = spark.createDataFrame([(i, t, None if j % 2 else "en", None, 1, 2, 3, 4, "r", 5, 6, False, 7, 8) for j, (i, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(1, leak), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns
+        left = Counter((r.doc_id, r.text) for r in out.collect()) if name != "best_fit_packing" else None
+        if left is not None:
+            assert out.columns == docs.columns
+            assert out.schema.fieldNames() == docs.schema.fieldNames() and {(r._kept, r._bad, r.row, r.id) for r in out.collect()} <= {(1, 2, "r", 8)}
+        if name == "quality_rules":
+            assert left == Counter(rows) - Counter([(None, None), (7, None), (8, "")])
+        if name == "line_dedup":
+            assert left[0, good[0]] == 2 and left[9, long] == 1 and left[None, None] == 1 and left[8, ""] == 1
+        if name == "near_dedup":
+            assert left == Counter(rows) - Counter([(0, good[0])]) - Counter([(None, good[5] + "\n" + leak)])
+        if name == "decontamination":
+            assert left == Counter(rows) - Counter([(None, good[5] + "\n" + leak)])
+        if name == "best_fit_packing":
+            assert len({(r.doc_id, r.ids_crc32) for r in out.where("piece = 0").collect()}) == len(set((i, t or "") for i, t in rows))
