@@ -1,7 +1,11 @@
 """A training corpus from raw documents: five stages, each one of the operators of souk.llm.
 
 Every stage is written as Parquet and read again as the next one's documents, so a lost executor costs a
-part of one stage. All stages but the last return the columns of ``documents``.
+part of one stage. All stages but the last return the columns of ``documents``, in their order.
+
+Rows are documents, whatever their doc_id: a verdict on a row is carried by a number of its own, so rows that
+share a doc_id, or have none, don't share it. Columns other than doc_id, text, lang and n_chars may have any
+name and come out as they went in. An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -13,37 +17,54 @@ from souk.llm import bagminhash, decontam, lines, packing, quality
 from souk.llm.common import Work, number_rows
 
 
+def whole_row(docs: DataFrame):
+    """All columns of a row in one, so that none can clash with those of a stage."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: too few words (null and empty texts too), too many repeats, a make-up unlike their language's.
+
+    A null language is held against all; rows that repeat are each judged, alike; a very long text is read whole.
+    """
     return quality.passing(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go, and with them documents of which no word is left."""
+    """Later copies of repeated runs of lines go, and with them documents of which no line is left.
+
+    Earlier means a smaller doc_id, or a lesser hash of the text where two texts share one. Rows that repeat doc_id
+    and text are one document and stay or go together; a row with a null doc_id or text stays as it is. n_chars is
+    counted anew where a line went. A text may have any number of lines.
+    """
     found = lines.dedup_lines(docs)
-    columns = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars"))}
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    columns = {"text": F.col("kept_text"), "n_chars": n_chars}
     left = found.where("n_removed = 0 OR n_removed < n_lines")
     return left.select(*(columns.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates stays, the one with the smallest doc_id (a null one is the largest)."""
-    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_key": F.xxhash64("text")})
-    rows = number_rows(Work(spark, "near"), keyed, [], ["_null", "doc_id", "_key"], "_number", "numbered")
-    kept = bagminhash.near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_number"))
-    return rows.join(kept, "_number", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of each class of near duplicates stays: that with the smallest doc_id (a null one is the largest), then the least hash of its text.
+
+    Equal texts are one class, however often they repeat, empty ones too; a null text is a class of its own.
+    """
+    keyed = docs.select(whole_row(docs), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    rows = number_rows(Work(spark, "near"), keyed, [], ["unnamed", "id", "key"], "number", "numbered")
+    kept = bagminhash.near_duplicates(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))).where("kept")
+    return rows.join(kept.select(F.col("doc_id").alias("number")), "number", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a window of a benchmark item go, each by its own text."""
-    rows = Work(spark, "decontaminated").save(docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
-    found = decontam.contamination(rows.select(F.col("_number").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_number"))
-    return rows.join(bad, "_number", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Rows with a window of a benchmark item go, each by its own text, of any length. Null and empty texts have none and stay."""
+    rows = Work(spark, "decontaminated").save(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("number")), "numbered")
+    found = decontam.contamination(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("number"))
+    return rows.join(bad, "number", "left_anti").select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, cut into pieces and packed."""
+    """What is left, cut into pieces and packed. A null text is an empty one (its end id alone); rows that repeat are packed each."""
     return packing.pack(docs)
 
 
