@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -64,23 +64,23 @@ def _ranked(work: Work, rows: DataFrame, keys: list[str], name: str) -> DataFram
     return running_totals(work, groups, keys, "n", "before", name)
 
 
-def suffix_array(work: Work, lines: DataFrame) -> list[DataFrame]:
-    """For each level, (at, line, left, rank, n, first) of the suffixes of ``lines`` (at, line, left, high, low) whose first line repeats.
+def suffix_array(work: Work, lines: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Of ``lines`` (at, line, left, high, low) the suffixes whose first line repeats: by level and at last, (at, line, left, rank, n, first).
 
-    ``n`` suffixes share the rank, ``first`` is the earliest of them. On the last level these are wholly equal.
+    ``n`` suffixes share the rank, ``first`` is the earliest of them; at last these are wholly equal. A level has
+    the suffixes of the documents where some aren't told apart yet.
     """
     groups = lines.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1")
     groups = running_totals(work, groups, ["high", "low"], "n", "rank", "groups-0")
-    levels = [work.save(lines.join(groups, ["high", "low"]).select("at", "line", "left", "rank", "n", "first"), "ranks-0")]
+    now = work.save(lines.join(groups, ["high", "low"]).select("at", "line", "left", "rank", "n", "first"), "ranks-0")
+    levels, last = [now], now.where("false")
     while True:
-        level, now = len(levels) - 1, levels[-1]
-        step = 1 << level
-        shared = now.where(f"n > 1 AND left > {step}")
-        if shared.isEmpty():
-            return levels
-        # Suffixes of a rank that end before the step are equal to their end, and so is their whole rank.
+        level, step = len(levels) - 1, 1 << (len(levels) - 1)
+        if now.where(f"n > 1 AND left > {step}").isEmpty():
+            return levels, last.unionByName(now)
+        # Suffixes that end before the step are equal to their end if they share a rank.
         after = now.select((F.col("at") - step).alias("at"), F.col("rank").alias("next"))
-        pairs = now.where("n > 1").select("at", "left", "rank").join(after, "at", "left")
+        pairs = now.where(f"n > 1 AND left >= {step}").select("at", "left", "rank").join(after, "at", "left")
         ended = F.col("left") <= step
         alone = ~ended & F.col("next").isNull()  # the line there occurs once
         pairs = pairs.select("at", "rank", F.when(ended, -1).when(alone, _LAST).otherwise(F.col("next")).alias("next"), F.when(alone, F.col("at")).otherwise(-1).alias("alone"))
@@ -89,15 +89,18 @@ def suffix_array(work: Work, lines: DataFrame) -> list[DataFrame]:
         groups = work.save(_ranked(work, pairs, keys, f"sorted-{level}"), f"groups-{level + 1}")
         starts = groups.groupBy("rank").agg(F.min("before").alias("start"))
         groups = groups.join(starts, "rank").withColumn("new", F.col("rank") + F.col("before") - F.col("start"))
-        moved = work.save(pairs.join(groups, keys).select("at", "new", F.col("n").alias("new_n"), F.col("first").alias("new_first")), f"moved-{level}")
+        moved = pairs.join(groups, keys).select("at", "new", F.col("n").alias("new_n"), F.col("first").alias("new_first"))
         new = now.join(moved, "at", "left").select("at", "line", "left", F.coalesce("new", "rank").alias("rank"), F.coalesce("new_n", "n").alias("n"), F.coalesce("new_first", "first").alias("first"))
-        levels.append(work.save(new, f"ranks-{level + 1}"))
-        work.drop(f"pairs-{level}", f"sorted-{level}", f"groups-{level}", f"moved-{level}")
+        whole = Window.partitionBy(F.col("at") - F.col("line"))  # a document
+        table = work.save(new.withColumn("open", F.max(F.expr(f"n > 1 AND left >= {2 * step}")).over(whole)), f"ranks-{level + 1}")
+        levels.append(table.drop("open"))
+        now, last = table.where("open").drop("open"), last.unionByName(table.where("NOT open").drop("open"))
+        work.drop(f"pairs-{level}", f"sorted-{level}", f"groups-{level}")
 
 
-def common_prefixes(work: Work, levels: list[DataFrame]) -> DataFrame:
+def common_prefixes(work: Work, levels: list[DataFrame], suffixes: DataFrame) -> DataFrame:
     """(rank, at, line, left, lcp): the different suffixes by rank, with the lines that each shares with the one before it."""
-    last = levels[-1].where("at = first").select("rank", "at", "line", "left")
+    last = suffixes.where("at = first").select("rank", "at", "line", "left")
     for level in range(min(2, len(levels))):
         last = last.join(levels[level].select("at", F.col("rank").alias(f"rank_{level}")), "at")
     if len(levels) < 2:
@@ -107,8 +110,8 @@ def common_prefixes(work: Work, levels: list[DataFrame]) -> DataFrame:
     pairs = work.save(array.join(before, "place", "left"), "neighbours")
     # Most neighbours differ in their first or second line already.
     deep = pairs.where("rank_0 = p_0 AND rank_1 = p_1").select("rank", "at", "p", F.least("left", "left_p").alias("most"), F.lit(0).cast("long").alias("lcp"))
-    for level in reversed(range(len(levels))):
-        own = lambda name: levels[level].select(F.col("at").alias(f"{name}_at"), F.col("rank").alias(f"{name}_rank"))  # noqa: B023, E731
+    for level in reversed(range(len(levels))):  # two places of one rank are in a rank that is shared
+        own = lambda name: levels[level].where("n > 1").select(F.col("at").alias(f"{name}_at"), F.col("rank").alias(f"{name}_rank"))  # noqa: B023, E731
         deep = deep.withColumns({"x_at": F.col("at") + F.col("lcp"), "y_at": F.col("p") + F.col("lcp")}).join(own("x"), "x_at", "left").join(own("y"), "y_at", "left")
         agree = F.coalesce((F.col("lcp") < F.col("most")) & (F.col("x_rank") == F.col("y_rank")), F.lit(False))
         deep = deep.withColumn("lcp", F.col("lcp") + F.when(agree, 1 << level).otherwise(0)).drop("x_at", "y_at", "x_rank", "y_rank")
@@ -173,9 +176,9 @@ def later_copies(docs: DataFrame) -> DataFrame:
     texts = _texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = line_ids(texts).groupBy("doc_id", "text_key", "line").agg(*(F.first(c).alias(c) for c in ("left", "high", "low")))
     lines = number_rows(work, found, [], ["doc_id", "text_key", "line"], "at", "lines")
-    levels = suffix_array(work, lines.select("at", "line", "left", "high", "low"))
-    array = work.save(common_prefixes(work, levels), "prefixes")
-    runs = longest_earlier(work, array).unionByName(levels[-1].where("at > first").select("at", "line", F.col("left").alias("lines")))
+    levels, suffixes = suffix_array(work, lines.select("at", "line", "left", "high", "low"))
+    array = work.save(common_prefixes(work, levels, suffixes), "prefixes")
+    runs = longest_earlier(work, array).unionByName(suffixes.where("at > first").select("at", "line", F.col("left").alias("lines")))
     runs = runs.select((F.col("at") - F.col("line")).alias("start"), F.struct("line", "lines").alias("run"))
     begins = lines.where("line = 0").select(F.col("at").alias("start"), "doc_id", "text_key")
     out = work.save(runs.groupBy("start").agg(F.collect_list("run").alias("runs")).join(begins, "start").drop("start"), "out")
