@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Chunk, Work, chunks, mix, odd_constants, to_batch, window_hashes
+from souk.llm.common import Chunk, Work, chunks, lean, mix, odd_constants, to_batch, window_hashes
 from souk.llm.components import components
 
 WORDS = 5
@@ -120,7 +120,7 @@ def sign(texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.row, n), lists], schema=schema)
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, keys array<long>")
+    return texts.select("node", "text").mapInArrow(lean(run), "node binary, keys array<long>")
 
 
 def multisets(texts: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def multisets(texts: DataFrame) -> DataFrame:
                 packed = [elements[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.row, len(chunk)), pa.array(packed, pa.binary())], schema=schema)
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, elements binary")
+    return texts.select("node", "text").mapInArrow(lean(run), "node binary, elements binary")
 
 
 def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 found.append(1 - shared / (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], schema=schema)
 
-    return _both(pairs.select("a", "b"), sets).select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary, distance double")
+    return _both(pairs.select("a", "b"), sets).select("a", "b", "of_a", "of_b").mapInArrow(lean(run), "a binary, b binary, distance double")
 
 
 def differences(stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -188,7 +188,7 @@ def differences(stars: DataFrame, sets: DataFrame, similarity: float) -> DataFra
                 yield to_batch(rows, schema)
 
     found = _both(stars, sets).select("a", "b", "failed", "of_a", "of_b")
-    return found.mapInArrow(run, "a binary, b binary, failed boolean, size int, weight double, least int, elements array<long>")
+    return found.mapInArrow(lean(run), "a binary, b binary, failed boolean, size int, weight double, least int, elements array<long>")
 
 
 def possible_pairs(found: DataFrame, of: DataFrame, work: Work) -> DataFrame:

@@ -7,12 +7,13 @@ finished stages can be let go.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -43,11 +44,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of so many rows at most, else both sides hold 10,000 of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the Python worker, which Spark keeps for later tasks, gives its free memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 class Work:
     """A folder of its own in the shared folder for the tables and files of one call."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.uri = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        small_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and read it again; what computed it is forgotten."""

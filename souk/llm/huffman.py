@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import Work, batches_of, filesystem, sliced
+from souk.llm.common import Work, batches_of, filesystem, lean, sliced
 from souk.llm.tokens import encoder, vocabulary_file
 
 MAGIC = b"SOUKHUF1"
@@ -204,7 +204,7 @@ def _tokenise(docs: DataFrame, work: Work, path: str, end_id: int) -> DataFrame:
             yield from batches_of([flush()], _segment)
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.xxhash64("text")).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").drop("key")
-    return work.save(ordered.mapInArrow(write, "part int, segment int, file string, n_ids long, counts binary"), "segments")
+    return work.save(ordered.mapInArrow(lean(write), "part int, segment int, file string, n_ids long, counts binary"), "segments")
 
 
 def _read_raw(store, path: str) -> tuple[list, list[int], np.ndarray]:
@@ -231,7 +231,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tuple[Wo
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    found = segments.select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = segments.select("counts").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)  # as long as the vocabulary at most
     counts[found["id"]] = found["n"]
     lengths = code_lengths(counts)
@@ -252,7 +252,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tuple[Wo
                 yield from batches_of([(row["part"], row["segment"], name, row["n_ids"])], schema)
 
     manifest = segments.drop("counts").repartition(_spread(segments), "file")
-    files = work.save(manifest.mapInArrow(encode, "part int, segment int, file string, n_ids long"), "files")
+    files = work.save(manifest.mapInArrow(lean(encode), "part int, segment int, file string, n_ids long"), "files")
     work.drop("raw", "segments")
     return work, files
 
@@ -284,7 +284,7 @@ def read(work: Work, files: DataFrame) -> DataFrame:
                     yield doc_id, row["first"] + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])
                     at += n
 
-    return placed.select("file", "first").repartition(_spread(files), "file").mapInArrow(lambda b: batches_of(decode(b), schema, 5000), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("file", "first").repartition(_spread(files), "file").mapInArrow(lean(lambda b: batches_of(decode(b), schema, 5000)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_huffman(spark, sf_dir: str) -> DataFrame:

@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from souk.llm.common import Work, batches_of, number_rows, running_totals
+from souk.llm.common import Work, batches_of, lean, number_rows, running_totals, sliced
 
 MIN_WORDS = 5
 
@@ -52,7 +53,7 @@ def line_ids(texts: DataFrame) -> DataFrame:
                     high, low = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), "<i8").tolist()
                     yield doc_id, key, number, len(lines) - number, high, low
 
-    return texts.select("doc_id", "text_key", "text").mapInArrow(lambda b: batches_of(run(b), schema, 20_000), "doc_id long, text_key long, line long, left long, high long, low long")
+    return texts.select("doc_id", "text_key", "text").mapInArrow(lean(lambda b: batches_of(run(b), schema, 20_000)), "doc_id long, text_key long, line long, left long, high long, low long")
 
 
 _LAST = (1 << 63) - 1
@@ -163,9 +164,9 @@ def longest_earlier(work: Work, array: DataFrame) -> DataFrame:
 
     columns = ("rank", "at", "line", "lcp")
     ordered = array.select(*columns).repartitionByRange("rank").sortWithinPartitions("rank")
-    found = work.save(ordered.mapInArrow(run, ddl), "ranges")
+    found = work.save(ordered.mapInArrow(lean(run), ddl), "ranges")
     # Open ones are the chains of ever earlier places from a range's ends: some log(n) of n in random order.
-    ends = found.where("open").select(*columns).coalesce(1).sortWithinPartitions("rank").mapInArrow(run, ddl)
+    ends = found.where("open").select(*columns).coalesce(1).sortWithinPartitions("rank").mapInArrow(lean(run), ddl)
     both = found.select("at", "line", "lines").unionByName(ends.select("at", "line", "lines"))
     return both.groupBy("at", "line").agg(F.max("lines").alias("lines")).where("lines > 0")
 
@@ -214,17 +215,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of lines, and columns any names. An empty table gives an empty result.
     """
     found = ["n_lines long", "n_removed long", "n_runs long", "kept_text string"]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"))
+    at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [(0, 0, 0, None) if not text.is_valid else _cut(text.as_py(), runs.as_py(), min_words) for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True)]
+        for batch in (x for b in batches for x in sliced(b)):
+            texts = pc.struct_field(batch.column("row"), at).cast(pa.string())
+            parts = [(0, 0, 0, None) if not text.is_valid else _cut(text.as_py(), runs.as_py(), min_words) for text, runs in zip(texts, batch.column("runs"), strict=True)]
             columns = list(zip(*parts, strict=True)) if parts else [()] * 4
             arrays = [batch.column("row"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", *(f.split()[0] for f in found)])
 
-    joined = rows.join(later_copies(docs), ["doc_id", "text_key"], "left").select("row", "text", "runs")
-    return joined.mapInArrow(cut, StructType([rows.schema["row"], *(StructField(f.split()[0], LongType() if f.endswith("long") else StringType()) for f in found)]))
+    joined = rows.join(later_copies(docs), ["doc_id", "text_key"], "left").select("row", "runs")
+    return joined.mapInArrow(lean(cut), StructType([rows.schema["row"], *(StructField(f.split()[0], LongType() if f.endswith("long") else StringType()) for f in found)]))
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import SPACE, Chunk, Work, batches_of, chunks, mix, sliced
+from souk.llm.common import SPACE, Chunk, Work, batches_of, chunks, lean, mix, sliced
 
 EDGES = ".,;:!?'\"()-"
 CLASSES = ("lower", "upper", "digit", "space", "line", "mark", "symbol", "other")
@@ -142,7 +142,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
         yield from batches_of(held(), schema, 10_000)
         yield from batches_of(((lang, "c", CLASSES[i], int(n)) for lang, c in classes.items() for i, n in enumerate(c)), schema)
 
-    found = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, kind string, key string, n long")
+    found = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(lean(count), "lang string, kind string, key string, n long")
     return found.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -156,7 +156,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[di
     counts = work.save(language_counts(docs), "counts")
     of_lang = counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("of_lang"))
     kept = of_lang.where(F.col("of_lang") >= limits.least_reference_words)
-    found = counts.join(kept, "lang").where(f"kind = 'c' OR (key <> '' AND n * {limits.common_share} >= of_lang)")
+    found = counts.join(F.broadcast(kept), "lang")  # a row for each language that has a reference.where(f"kind = 'c' OR (key <> '' AND n * {limits.common_share} >= of_lang)")
     rows = found.groupBy("lang", "of_lang").agg(F.collect_list(F.struct("kind", "key", "n")).alias("found")).collect()
     work.drop("counts")
     out = {}
@@ -233,7 +233,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             for doc_id, verdict in zip(part.column(0).to_pylist(), rules(part.column(1), part.column(2)), strict=True):
                 yield doc_id, *verdict
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(lambda b: batches_of(rows(b), _arrow), _schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(lean(lambda b: batches_of(rows(b), _arrow)), _schema)
 
 
 def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -246,7 +246,7 @@ def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             verdicts = rules(part.column("lang").cast(pa.string()), part.column("text").cast(pa.string()))
             yield part.filter(pa.array([v[-1] for v in verdicts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Chunk, Work, batches_of, chunks, mix, window_hashes
+from souk.llm.common import Chunk, Work, batches_of, chunks, lean, mix, window_hashes
 
 SIZE = 13
 ANCHOR = 8
@@ -118,7 +118,7 @@ def sketches(texts: DataFrame, stripes: int, size: int = SIZE, anchor: int = ANC
         if held:
             yield flush()
 
-    return texts.select("block", "text").mapInArrow(run, _sketch_ddl)
+    return texts.select("block", "text").mapInArrow(lean(run), _sketch_ddl)
 
 
 def repeated_counters(parts: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def remove(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame
 
     later = later_windows(docs, size, anchor)
     met = _keyed(docs).join(later, "key", "left").select("doc_id", "text", "first_id", "places")
-    return met.mapInArrow(lambda b: batches_of(cut(b), out), "doc_id long, n_words long, n_removed long, kept_text string")
+    return met.mapInArrow(lean(lambda b: batches_of(cut(b), out)), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import batches_of
+from souk.llm.common import batches_of, lean, small_batches
 
 TOXIC, CLEAN = 1500, 3000
 DECAY, SPAN, LONGEST, SHORT = 0.7, 8, 24, 3
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 yield toxic, sorted({p for w in tokens(text or "") for p in pieces(w) if len(p) >= 3})
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id")
-    rows = chosen.select(F.col("toxic").cast("long"), "text").mapInArrow(lambda b: batches_of(bags(b), schema, 200), "toxic long, words array<string>").toArrow()
+    rows = chosen.select(F.col("toxic").cast("long"), "text").mapInArrow(lean(lambda b: batches_of(bags(b), schema, 200)), "toxic long, words array<string>").toArrow()
     once: dict[str, str] = {}  # of equal words one stays in memory
     by_label: tuple[list, list] = ([], [])
     for label, words in zip(rows.column(0), rows.column(1), strict=True):
@@ -275,6 +275,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     taken in overlapping stretches. Rows that repeat a doc_id are scored each, a null doc_id stays null and isn't held out. Without a model (no labels of both
     kinds to learn from) all scores are 0. Other columns are left aside; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +284,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo in range(0, len(texts), 500):
-                if len(cache) > 800_000:
+                if len(cache) > 500_000:
                     cache.clear()
                 bags = [tokens(t or "") for t in texts[lo : lo + 500]]
                 scores = [0.0] * len(bags)
@@ -299,7 +300,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=schema)
 
     columns = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return columns.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+    return columns.mapInArrow(lean(rows), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

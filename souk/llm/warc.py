@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Work, batches_of, filesystem
+from souk.llm.common import Work, batches_of, filesystem, lean
 
 BLOCK = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, work: Work, least_bytes: int = 0) -> DataFr
         if out is not None:
             out.close()
 
-    return work.save(joined.mapInArrow(write, _entry_ddl), "entries")
+    return work.save(joined.mapInArrow(lean(write), _entry_ddl), "entries")
 
 
 def build_index(entries: DataFrame, work: Work) -> list[tuple[bytes, int, str]]:
@@ -162,7 +162,7 @@ def build_index(entries: DataFrame, work: Work) -> list[tuple[bytes, int, str]]:
             yield from batches_of([(directory[0][0].encode(), directory[0][1], name)], shard)
 
     ordered = entries.select(*_entry.names).repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id", "file", "at")
-    shards = work.save(ordered.mapInArrow(write, "first_key binary, first_id long, file string"), "shards")
+    shards = work.save(ordered.mapInArrow(lean(write), "first_key binary, first_id long, file string"), "shards")
     return sorted((bytes(r.first_key), r.first_id, r.file) for r in shards.collect())
 
 
@@ -231,7 +231,7 @@ class Archive:
                 yield from batches_of((tuple(x) for key, i in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in index.find(key, i)), _entry)
 
         ordered = queries.select("url_key", "page_id").distinct().repartitionByRange(self.tasks, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-        return ordered.mapInArrow(search, _entry_ddl)
+        return ordered.mapInArrow(lean(search), _entry_ddl)
 
     def fetch(self, captures: DataFrame) -> DataFrame:
         """Read the records of captures by range."""
@@ -249,7 +249,7 @@ class Archive:
                     yield parse(file.read_at(n, at))
 
         ordered = captures.select("file", "at", "length").repartitionByRange(self.tasks, "file", "at").sortWithinPartitions("file", "at")
-        return ordered.mapInArrow(lambda b: batches_of(read(b), _found), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        return ordered.mapInArrow(lean(lambda b: batches_of(read(b), _found)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
