@@ -155,8 +155,8 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[di
     work = Work(docs.sparkSession, "quality")
     counts = work.save(language_counts(docs), "counts")
     of_lang = counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("of_lang"))
-    kept = of_lang.where(F.col("of_lang") >= limits.least_reference_words)
-    found = counts.join(F.broadcast(kept), "lang")  # a row for each language that has a reference.where(f"kind = 'c' OR (key <> '' AND n * {limits.common_share} >= of_lang)")
+    kept = of_lang.where(F.col("of_lang") >= limits.least_reference_words)  # a row for each language that has a reference
+    found = counts.join(F.broadcast(kept), "lang").where(f"kind = 'c' OR (key <> '' AND n * {limits.common_share} >= of_lang)")
     rows = found.groupBy("lang", "of_lang").agg(F.collect_list(F.struct("kind", "key", "n")).alias("found")).collect()
     work.drop("counts")
     out = {}
