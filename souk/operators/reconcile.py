@@ -98,6 +98,23 @@ def health(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
-    """The rows of the newest snapshot."""
-    newest = snapshots.agg(F.max("checked_at").alias("checked_at"))
-    return snapshots.join(F.broadcast(newest), "checked_at", "left_semi")
+    """The rows of the newest snapshot, in one pass: a snapshot (a row for each check and day) travels as one value."""
+    rest = [c for c in snapshots.columns if c != "checked_at"]
+    each = snapshots.groupBy("checked_at").agg(F.collect_list(F.struct(*rest)).alias("found"))
+    newest = each.agg(F.max("checked_at").alias("checked_at"), F.max_by("found", "checked_at").alias("found"))
+    return newest.select("checked_at", F.inline("found"))
+
+
+class Snapshots:
+    """Stored snapshots of checks or metrics: append-only, a run's rows share their instant."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def store(self, rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("append").parquet(self.path)
+
+    def newest(self) -> DataFrame:
+        """The newest snapshot; its instant is fetched first, so that it reaches the scan as a literal."""
+        stored = self.spark.read.parquet(self.path)
+        return stored.where(F.col("checked_at") == F.lit(stored.agg(F.max("checked_at")).collect()[0][0]))

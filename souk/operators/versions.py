@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from souk.functions import surrogate_key
 
 
-def latest_version(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """One row per key, the one with the greatest version; ties go to the greatest hash of the whole row.
+def latest_version(rows: DataFrame, keys: list[str], version: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key, the one with the greatest version; of equal ones that with the greatest ``ties``, or any.
 
-    An aggregate, not a window: versions of a hot key are combined before the shuffle.
+    Every partition keeps its newest row of a key before the shuffle, so a hot key costs a row a partition, and
+    columns that nobody reads later are never read.
     """
-    rest = [c for c in rows.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(version), F.xxhash64(*rows.columns))).alias("_row"))
-    return newest.select(*(F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in rows.columns))
+    newest_first = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in (version, *ties)))
+    return rows.withColumn("_nth", F.row_number().over(newest_first)).where("_nth = 1").drop("_nth")
 
 
 def scd2_apply(history: DataFrame | None, source: DataFrame, key: str, updated: str, run_at: datetime) -> DataFrame:

@@ -133,23 +133,23 @@ def _recent(rows: DataFrame, column: str, minutes: int) -> DataFrame:
 
 @card(18, "live_purchases")
 def _(spark, folder):
-    return _recent(live.orders_per_minute(live.live_events(raw.raw_events(spark, folder))), "minute", 720).orderBy("minute")
+    return _recent(live.orders_per_minute(live.live_events(raw.sent_events(spark, folder))), "minute", 30).orderBy("minute")
 
 
 @card(19, "live_events")
 def _(spark, folder):
-    return _recent(live.events_per_minute(live.live_events(raw.raw_events(spark, folder))), "minute", 720).orderBy("minute", "event_type")
+    return _recent(live.events_per_minute(live.live_events(raw.sent_events(spark, folder))), "minute", 30).orderBy("minute", "event_type")
 
 
 @card(20, "live_funnel")
 def _(spark, folder):
     """One pass over the events instead of one for each step; steps without events count 0."""
-    return models.funnel_steps_of(live.live_events(raw.raw_events(spark, folder))).select("step", "sessions")
+    return models.funnel_steps_of(live.live_events(raw.sent_events(spark, folder))).select("step", "sessions")
 
 
 @card(21, "live_sessions")
 def _(spark, folder):
-    return _recent(live.live_events(raw.raw_events(spark, folder)), "event_time", 720).agg(F.count_distinct("session_id").alias("sessions"))
+    return _recent(live.live_events(raw.sent_events(spark, folder)), "event_time", 15).agg(F.count_distinct("session_id").alias("sessions"))
 
 
 @card(22, "checks_failing")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from souk.functions import traffic_multiplier
-from souk.operators import checks, clean, reconcile
+from souk.functions.columns import HOUR_WEIGHTS
+from souk.session import scratch
+from souk.operators import checks, clean, materialise, reconcile
 from souk.operators.versions import as_of, latest_version, since, upsert
 from souk.plans import models, staging
 from souk.plans.dashboards import CARDS
@@ -63,10 +65,10 @@ _CARD_SQL = {
     15: "SELECT step, sessions FROM mart_funnel_steps",
     16: "SELECT step, sessions, share_of_entry, step_conversion_rate FROM mart_funnel_steps",
     17: "SELECT event_date, view_to_cart_rate, cart_to_checkout_rate, checkout_to_purchase_rate FROM mart_funnel_daily",
-    18: "SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, count(*) AS orders FROM live WHERE event_type = 'purchase' GROUP BY 1 HAVING minute >= TIMESTAMP '2024-01-15'",
-    19: "SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, event_type, count(*) AS events FROM live GROUP BY 1, 2 HAVING minute >= TIMESTAMP '2024-01-15'",
+    18: "SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, count(*) AS orders FROM live WHERE event_type = 'purchase' GROUP BY 1 HAVING minute >= TIMESTAMP '2024-01-15 11:30:00'",
+    19: "SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, event_type, count(*) AS events FROM live GROUP BY 1, 2 HAVING minute >= TIMESTAMP '2024-01-15 11:30:00'",
     20: "SELECT step, sessions FROM steps",
-    21: "SELECT count(DISTINCT session_id) AS sessions FROM live WHERE event_time >= TIMESTAMP '2024-01-15'",
+    21: "SELECT count(DISTINCT session_id) AS sessions FROM live WHERE event_time >= TIMESTAMP '2024-01-15 11:45:00'",
     22: "SELECT count(*) FILTER (status <> 'ok') AS failing FROM health",
     23: "SELECT count(*) FILTER (difference <> 0) AS mismatches FROM row_counts",
     24: "SELECT metric_value AS malformed_last_24h FROM health WHERE metric = 'malformed_last_24h'",
@@ -169,10 +171,21 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
 
 _ERRORS = "CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'empty payload' WHEN 1 THEN 'not valid utf-8' WHEN 2 THEN 'invalid json' WHEN 3 THEN 'payload is array, expected an object' ELSE 'missing required field(s): event_type,session_id,event_time' END END"
 add("parse_dlq", lambda s, d: parse_events(_messages(s, d)).select("offset", "error", "event_type", "user_id", "event_time"), f"SELECT event_id AS \"offset\", {_ERRORS} AS error, CASE WHEN event_type <> 'error' THEN event_type END AS event_type, CASE WHEN event_type <> 'error' THEN user_id WHEN event_id % 5 = 4 THEN 5 END::BIGINT AS user_id, CASE WHEN event_type <> 'error' THEN date_trunc('second', ts)::TIMESTAMP END AS event_time FROM events")
-add("live_dedup", lambda s, d: live.live_events(raw.raw_events(s, d)).select("event_id", "event_type", "ingested_at"), sql("SELECT event_id, event_type, consumed_at AS ingested_at FROM live"))
-add("per_minute_events", lambda s, d: live.events_per_minute(live.live_events(raw.raw_events(s, d))), sql("SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, event_type, count(*) AS events FROM live GROUP BY 1, 2"))
-add("per_minute_orders", lambda s, d: live.orders_per_minute(live.live_events(raw.raw_events(s, d))), sql("SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, count(*) AS orders FROM live WHERE event_type = 'purchase' GROUP BY 1"))
+add("live_dedup", lambda s, d: live.live_events(raw.sent_events(s, d)).select("event_id", "event_type", "ingested_at"), sql("SELECT event_id, event_type, consumed_at AS ingested_at FROM live"))
+add("per_minute_events", lambda s, d: live.events_per_minute(live.live_events(raw.sent_events(s, d))), sql("SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, event_type, count(*) AS events FROM live GROUP BY 1, 2"))
+add("per_minute_orders", lambda s, d: live.orders_per_minute(live.live_events(raw.sent_events(s, d))), sql("SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, count(*) AS orders FROM live WHERE event_type = 'purchase' GROUP BY 1"))
+
+# How models and snapshots are kept.
+def _snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    store = reconcile.Snapshots(spark, scratch(spark, "snapshots"))
+    store.store(reconcile.row_counts(spark, folder))
+    return store.newest()
+
+
+add("mat_view", lambda s, d: materialise.view(models.mart_daily_gmv(s, d), "kept_daily_gmv"), sql("SELECT * FROM mart_daily_gmv"))
+add("mat_table", lambda s, d: materialise.table(models.mart_funnel_daily(s, d), scratch(s, "funnel"), ("event_date",)), sql("SELECT * FROM mart_funnel_daily"))
+add("dq_snapshot", _snapshot, sql("SELECT * FROM row_counts"))
 
 # Simulation.
-_WEIGHTS = "[0.15, 0.08, 0.05, 0.04, 0.05, 0.10, 0.30, 0.55, 0.75, 0.85, 0.95, 1.00, 1.05, 0.95, 0.90, 0.95, 1.00, 1.10, 1.25, 1.45, 1.55, 1.40, 1.00, 0.55]"
+_WEIGHTS = list(HOUR_WEIGHTS)
 add("traffic_multiplier", lambda s, d: raw.read(s, d, "events").select("event_id", traffic_multiplier(F.col("ts").cast("timestamp") + F.expr("INTERVAL 240 DAYS") + F.make_interval(days=(F.col("event_id") % 90).cast("int"))).alias("multiplier")), f"SELECT event_id, ({_WEIGHTS}::DOUBLE[])[hour(l) + 1] * CASE WHEN strftime(l, '%m-%d') IN ('09-09', '11-11', '12-12') THEN 5.0 ELSE 1.0 END AS multiplier FROM (SELECT event_id, ts + INTERVAL 240 DAY + to_days((event_id % 90)::INTEGER) + INTERVAL 7 HOUR AS l FROM events)")

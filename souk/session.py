@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: UTC for every date function; AQE to coalesce and to split skewed joins; ANSI so that bad casts are loud.
@@ -18,3 +22,13 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     """A session; ``more`` are settings with dots written as double underscores."""
     builder = SparkSession.builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in more.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the one that all executors share (``spark.checkpoint.dir``); on a single machine, if that is unset, a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = Path(tempfile.mkdtemp(prefix="souk-")).as_uri()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -10,9 +10,9 @@ from souk.sources.marketplace import FUNNEL
 
 
 def live_rows(raw: DataFrame) -> DataFrame:
-    """Typed rows with an id and one of the funnel's types."""
+    """Typed rows with an id and one of the funnel's types, written exactly so."""
     return raw.select(
-        "event_id", F.col("event_time").cast("timestamp").alias("event_time"), F.lower(F.trim("event_type")).alias("event_type"), F.coalesce(F.col("user_id").cast("string").try_cast("long"), F.lit(0)).alias("user_id"),
+        "event_id", F.col("event_time").cast("timestamp").alias("event_time"), "event_type", F.coalesce(F.col("user_id").cast("string").try_cast("long"), F.lit(0)).alias("user_id"),
         "session_id", "city", F.coalesce("device_type", "device").alias("device_type"), F.col("consumed_at").alias("ingested_at"),
     ).where(F.col("event_id").isNotNull() & (F.col("event_id") != "") & F.col("event_type").isin(*FUNNEL))
 

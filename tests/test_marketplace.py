@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from souk.functions import half_up_ratio, status_for
-from souk.operators import checks, clean, reconcile
+from souk.operators import checks, clean, materialise, reconcile
 from souk.operators.versions import as_of, latest_version, scd2_apply, since, upsert, with_version_key
 from souk.plans import models
 from souk.sources import lake
@@ -105,16 +105,54 @@ def test_clean_run(spark, tmp_path):
     for _ in range(2):
         result = clean.run(spark, raw, out, now=now)
         assert (result.input_rows, result.output_rows, result.duplicates_removed, result.partitions_written) == (2, 1, 1, 1)
+        assert result.objects_read >= 1 and result.seconds > 0
         assert spark.read.parquet(out).count() == 1
     assert clean.run(spark, raw, out, full=True, now=now).output_rows == 2
     with pytest.raises(ValueError):
         clean.run(spark, raw, out, lookback_hours=2, now=now)
 
 
-def test_paths():
+def test_paths(spark):
     assert clean.window_start(datetime(2026, 10, 2, 11, 47, 13), 3) == datetime(2026, 10, 2, 8)
-    keys = ["x/dt=2026-10-02/hr=07/a", "x/dt=2026-10-02/hr=11/b", "x/dt=2026-10-02/hr=08/c", "odd"]
-    assert clean.select_objects(keys, datetime(2026, 10, 2, 8, 30)) == ["odd", "x/dt=2026-10-02/hr=08/c", "x/dt=2026-10-02/hr=11/b"]
+    parts = spark.createDataFrame([("2026-10-02", "07"), ("2026-10-02", "11"), ("2026-10-02", "08"), ("odd", "08"), (None, None), ("2026-10-02", "99")], "dt string, hr string")
+    kept = [(r.dt, r.hr) for r in parts.where(clean.may_hold(datetime(2026, 10, 2, 8, 30))).collect()]
+    assert kept == [("2026-10-02", "11"), ("2026-10-02", "08"), ("odd", "08"), (None, None), ("2026-10-02", "99")]
+
+
+def test_clean_run_of_odd_folders(spark, tmp_path):
+    raw, out = f"{tmp_path}/raw", f"{tmp_path}/clean"
+    events = _raw(spark, [{"event_id": "1"}, {"event_id": "2", "event_time": datetime(2026, 10, 2, 11, 5)}])
+    events.where("event_id = '1'").write.parquet(f"{raw}/dt=unknown/hr=x")
+    events.where("event_id = '2'").write.parquet(f"{raw}/dt=2026-10-02/hr=11")
+    first = clean.run(spark, raw, out, now=datetime(2026, 10, 2, 11, 30))
+    assert (first.output_rows, first.partitions_written, first.objects_read) == (2, 2, 2)
+
+
+def test_materialised(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", T0), (1, "a", T1)], "id long, v string, at timestamp")
+    assert materialise.view(rows, "two_rows").count() == 2
+    for _ in range(2):
+        assert [r.id for r in materialise.table(rows, f"{tmp_path}/t", ("id",)).collect()] == [1, 2]
+    more = spark.createDataFrame([(1, "new", T1), (3, "c", T2), (2, "late", T0)], "id long, v string, at timestamp")
+    assert materialise.incremental(spark, rows, f"{tmp_path}/i", "id", "at", "INTERVAL 1 DAY").count() == 2
+    for _ in range(3):
+        got = materialise.incremental(spark, more, f"{tmp_path}/i", "id", "at", "INTERVAL 1 DAY")
+        assert sorted((r.id, r.v) for r in got.collect()) == [(1, "new"), (2, "b"), (3, "c")]
+
+
+def test_snapshots(spark, tmp_path):
+    rows = lambda at, n: spark.createDataFrame([(at, "orders", i) for i in range(n)], "checked_at timestamp, entity string, n int")
+    store = reconcile.Snapshots(spark, f"{tmp_path}/s")
+    for at, n in ((T0, 3), (T2, 2), (T1, 1)):
+        store.store(rows(at, n))
+    assert store.newest().count() == 2 and reconcile.latest(spark.read.parquet(f"{tmp_path}/s")).count() == 2
+    assert {r.checked_at for r in store.newest().collect()} == {T2}
+
+
+def test_scripts(spark):
+    script = "-- a; b\nselect ';' as x /* ; ' */;\n\nselect \"q;\" -- it's\n; select 1-1/1; 'it''s;';"
+    assert lake.split_statements(script) == ["select ';' as x", 'select "q;"', "select 1-1/1", "'it''s;'"]
+    assert lake.apply_script(spark, "CREATE OR REPLACE TEMP VIEW one AS SELECT 1 AS x; SELECT * FROM one;") == 2
 
 
 def test_lake(spark, tmp_path):
