@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.llm.common import Work, batches_of, filesystem, lean, sliced
-from souk.llm.tokens import encoder, vocabulary_file
+from souk.llm.tokens import encoder, forget, vocabulary_file
 
 MAGIC = b"SOUKHUF1"
 LIMIT = 18
@@ -240,7 +240,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tuple[Wo
     schema = pa.schema([f for f in _segment if f.name != "counts"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # a worker that tokenised before needs that memory no more
+        forget()  # a worker that tokenised before needs that memory no more
         store, folder = filesystem(raw)
         target = filesystem(out)[1]
         store.create_dir(target, recursive=True)

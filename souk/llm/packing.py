@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.common import Work, batches_of, lean, number_rows, sliced
-from souk.llm.tokens import encoder, vocabulary_file
+from souk.llm.tokens import encoder, forget, vocabulary_file
 
 CAPACITY = 2048
 GROUPS = 24
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
                 ids = ids_of(text or "") + end
                 for k, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
                     yield doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])
-        encoder.cache_clear()
+        forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(lambda b: batches_of(rows(b), _pieces, 5000)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 

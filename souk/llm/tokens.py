@@ -92,7 +92,18 @@ class Encoder:
         return self.bare[head] + b"".join(map(self.after_space.__getitem__, rest))
 
 
+_loaded: list[Encoder] = []
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One for all tasks of a Python worker."""
-    return Encoder(path)
+    _loaded.append(Encoder(path))
+    return _loaded[-1]
+
+
+def forget() -> None:
+    """Empty the word memories of this worker, which Spark keeps for tasks that may need none."""
+    for own in _loaded:
+        own.bare.clear()
+        own.after_space.clear()
