@@ -1,8 +1,9 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-The index holds a posting (document, position, term) for every training token that occurs in the benchmark
-at all, and one of the end marker for each document, whose position is the document's length. It is stored
-by document, so every shard has whole documents and building it moves nothing between machines.
+The index holds a posting (document, position, term) for every training token, whatever will be looked for,
+and one of the end marker for each document, whose position is the document's length. It is stored by
+document, so every shard has whole documents and building it moves nothing between machines; one index
+serves any number of benchmarks. A search takes the lists of its own terms out of it.
 
 A phrase is found from its rarest term: the term's postings, less its offset in the phrase, are the possible
 starts; they are intersected with the offset-adjusted postings of the second and third rarest, and what is
@@ -41,26 +42,32 @@ def item_phrases(items: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 class Index:
-    """Postings of the terms of ``phrases`` (phrase, terms) in ``docs`` (doc_id, text)."""
+    """Postings of all tokens of ``docs`` (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame, phrases: DataFrame):
-        self.work = work = Work(docs.sparkSession, "postings")
-        terms = phrases.select(F.explode("terms").alias("term")).union(docs.sparkSession.createDataFrame([(END,)], "term string")).distinct()
-        self.terms = number_rows(work, terms, [], ["term"], "term_id", "terms").select("term", F.col("term_id").cast("int"))
+    def __init__(self, docs: DataFrame):
         numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
         tokens = numbered.select("row", "doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("at", "term"))
-        self.postings = work.save(tokens.join(self.terms, "term").select("row", "doc_id", "at", "term_id"), "index")
-        counts = self.postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
-        offsets = phrases.select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")).join(self.terms, "term").join(counts, "term_id")
+        self.postings = Work(docs.sparkSession, "postings").save(tokens, "index")
+
+    def documents(self) -> DataFrame:
+        """(row, doc_id, n_words)."""
+        return self.postings.where(F.col("term") == END).select("row", "doc_id", F.col("at").cast("long").alias("n_words"))
+
+
+class Search:
+    """The lists of the terms of ``phrases`` (phrase, terms) in an index, and where they meet."""
+
+    def __init__(self, index: Index, phrases: DataFrame):
+        self.work = work = Work(phrases.sparkSession, "lists")
+        terms = number_rows(work, phrases.select(F.explode("terms").alias("term")).distinct(), [], ["term"], "term_id", "terms").select("term", F.col("term_id").cast("int"))
+        self.postings = work.save(index.postings.join(terms, "term").select("row", "at", "term_id"), "lists")
+        counts = work.save(self.postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("n")), "counts")
+        offsets = phrases.select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")).join(terms, "term").join(counts, "term_id")
         whole = Window.partitionBy("phrase")  # of a phrase's words: SIZE rows at most
         offsets = offsets.withColumn("known", F.count(F.lit(1)).over(whole)).where("known = size")  # a term without postings rules a phrase out
         ranked = offsets.withColumn("rarity", F.row_number().over(whole.orderBy("n", "offset")) - 1)
         self.offsets = work.save(ranked.select("phrase", "size", "offset", "term_id", "rarity"), "offsets")
 
-    def documents(self) -> DataFrame:
-        """(row, doc_id, n_words)."""
-        return self.postings.join(self.terms.where(F.col("term") == END), "term_id").select("row", "doc_id", F.col("at").cast("long").alias("n_words"))
-
     def _of(self, rarity: int) -> DataFrame:
         return self.offsets.where(F.col("rarity") == rarity)
 
@@ -104,8 +111,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
     """
     work = Work(docs.sparkSession, "decontam")
     phrases = work.save(item_phrases(items, size), "phrases")
-    index = Index(docs, phrases.select("phrase", "terms").distinct())
-    found = work.save(index.exact(), "found")
+    index = Index(docs)
+    found = work.save(Search(index, phrases.select("phrase", "terms").distinct()).exact(), "found")
     end = F.col("start") + F.col("size")
     earlier = Window.partitionBy("row").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("row", "start", "size").distinct().withColumn("upto", F.max(end).over(earlier))

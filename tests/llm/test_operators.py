@@ -265,20 +265,33 @@ def test_decontamination(spark, docs):
 def test_proximity(spark):
     texts = spark.createDataFrame([(1, "x alpha beta gamma"), (2, "alpha y beta z gamma"), (3, "alpha beta"), (4, "gamma beta alpha")], "doc_id long, text string")
     phrases = decontam.item_phrases(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")).select("phrase", "terms")
-    index = decontam.Index(texts, phrases)
+    index = decontam.Index(texts)
+    search = decontam.Search(index, phrases)
     ids = {r.row: r.doc_id for r in index.documents().collect()}
-    assert {ids[r.row] for r in index.exact().collect()} == {1}
-    assert {ids[r.row] for r in index.proximity(2).collect()} >= {1, 2}
-    assert 3 not in {ids[r.row] for r in index.proximity(2).collect()}
+    assert {ids[r.row] for r in search.exact().collect()} == {1}
+    assert {ids[r.row] for r in search.proximity(2).collect()} >= {1, 2}
+    assert 3 not in {ids[r.row] for r in search.proximity(2).collect()}
 
 
 def test_proximity_at_the_start(spark):
     texts = spark.createDataFrame([(1, "alpha gamma beta"), (2, "alpha beta x alpha beta"), (3, "x alpha gamma beta")], "doc_id long, text string")
     phrases = decontam.item_phrases(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")).select("phrase", "terms")
-    index = decontam.Index(texts, phrases)
+    index = decontam.Index(texts)
+    search = decontam.Search(index, phrases)
     ids = {r.row: r.doc_id for r in index.documents().collect()}
-    assert {(ids[r.row], r.start) for r in index.proximity(2).collect()} == {(1, -1), (3, 0)}
-    assert index.exact().count() == 0
+    assert {(ids[r.row], r.start) for r in search.proximity(2).collect()} == {(1, -1), (3, 0)}
+    assert search.exact().count() == 0
+
+
+def test_one_index_serves_two_benchmarks(spark):
+    texts = spark.createDataFrame([(1, "one two three four"), (2, "four three two one"), (3, None), (4, "two three")], "doc_id long, text string")
+    index = decontam.Index(texts)
+    assert sorted(r.term for r in index.postings.where("term <> ''").collect()) == sorted("one two three four four three two one two three".split())
+    assert sorted((r.doc_id, r.n_words) for r in index.documents().collect()) == [(1, 4), (2, 4), (3, 0), (4, 2)]
+    ids = {r.row: r.doc_id for r in index.documents().collect()}
+    for text, want in (("Two three", {(1, 1), (4, 0)}), ("four, three", {(2, 0)}), ("one five", set())):
+        phrases = decontam.item_phrases(spark.createDataFrame([(1, text)], "item_id long, text string")).select("phrase", "terms")
+        assert {(ids[r.row], r.start) for r in decontam.Search(index, phrases).exact().collect()} == want
 
 
 def test_tokens_are_the_librarys(docs):
