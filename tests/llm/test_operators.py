@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions
 
 from souk.llm import bagminhash, common, decontam, huffman, lines, packing, quality, sharding, substring, tokens, toxicity, warc
 
@@ -262,6 +263,14 @@ def test_decontamination(spark, docs):
     assert decontam.contamination(docs.limit(0), items).count() == 0
 
 
+def test_words_of_every_character(spark):
+    text = "".join(chr(c) + "x" * (c % 3) for c in [*range(1, 0x300), 0x7FF, 0x800, 0x2028, 0xD7FF, 0xE000, 0xFEFF, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF])
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for t in (text, text[:100], "\x7f\x80a\x60{", ""):
+        got = spark.createDataFrame([(t,)], "t string").select(decontam.words(functions.col("t"))).collect()[0][0]
+        assert got == re.findall(decontam.WORDS, t.translate(lower))
+
+
 def test_proximity(spark):
     texts = spark.createDataFrame([(1, "x alpha beta gamma"), (2, "alpha y beta z gamma"), (3, "alpha beta"), (4, "gamma beta alpha")], "doc_id long, text string")
     phrases = decontam.item_phrases(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")).select("phrase", "terms")
