@@ -8,7 +8,8 @@ serves any number of benchmarks. A search takes the lists of its own terms out o
 A phrase is found from its rarest term: the term's postings, less its offset in the phrase, are the possible
 starts; they are intersected with the offset-adjusted postings of the second and third rarest, and what is
 left with those of all other terms. Only postings of documents that are still possible are looked at then.
-Candidates and postings grow with the corpus, so they meet in merge joins, never by a broadcast.
+Candidates and postings grow with the corpus, so they meet in merge joins, never by a broadcast; only the
+numbers of the documents that are still possible are broadcast, as long as their table is below Spark's limit.
 Proximity matches ask of each other term a posting within ``slop`` places of where the phrase has it.
 """
 
@@ -88,8 +89,8 @@ class Search:
             met = wanted.join(there.hint("merge"), ["row", "at", "term_id"], "left_semi").select("phrase", "size", "row", "start")
             found = self.work.save(met.unionByName(found.where(F.col("size") <= rarity)), f"met-{rarity}")
         rest = self.offsets.where("rarity > 2").select("phrase", "offset", "term_id")
-        open_rows = found.where("size > 3").select("row").distinct()
-        there = self.postings.join(open_rows.hint("merge"), "row", "left_semi").join(rest.select("term_id").distinct(), "term_id", "left_semi").select("row", "at", "term_id")
+        open_rows = self.work.save(found.where("size > 3").select("row").distinct(), "open")  # stored, so that its size is known
+        there = self.postings.join(open_rows, "row", "left_semi").join(rest.select("term_id").distinct(), "term_id", "left_semi").select("row", "at", "term_id")
         wanted = found.where("size > 3").join(rest, "phrase").withColumn("at", F.col("start") + F.col("offset"))
         met = wanted.join(there.hint("merge"), ["row", "at", "term_id"], "left_semi").groupBy("phrase", "size", "row", "start").agg(F.count(F.lit(1)).alias("n"))
         return met.where("n = size - 3").drop("n").unionByName(found.where("size <= 3"))
