@@ -85,6 +85,7 @@ _done = "block long, no int, ids string, text string"
 
 def _number_chunks(path: str):
     """Tables of blocks: rows of distinct chunks (no, chunk), and rows of documents (doc_id, codes)."""
+    most, most_distinct = BLOCK_CHUNKS, BLOCK_DISTINCT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = segmenter(path).chunks
@@ -108,7 +109,7 @@ def _number_chunks(path: str):
         for batch in batches:
             for part in sliced(batch, 64):
                 yield from batches_of(documents(), _tables_arrow)
-                if n >= BLOCK_CHUNKS or len(numbers) >= BLOCK_DISTINCT:
+                if n >= most or len(numbers) >= most_distinct:
                     yield from table()
                     numbers, n, blocks = _Numbers(), 0, blocks + 1
         yield from table()
