@@ -238,7 +238,7 @@ def string_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _word_places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -269,7 +269,7 @@ def chunks(array: pa.Array, table: bytes | None = None, size: int = _CHUNK) -> I
             hi = min(len(part), lo + 2 * size)
             while hi < len(part) and not SPACE[part[hi]]:
                 hi += 1
-            starts, ends = _word_places(part[lo:hi], at[(at >= lo) & (at <= hi)] - lo)
+            starts, ends = word_places(part[lo:hi], at[(at >= lo) & (at <= hi)] - lo)
             found.append((_hash_words(part[lo:hi], starts, ends), starts + lo, ends + lo))
             lo = hi
         hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
