@@ -6,9 +6,10 @@ over their ends. A phrase's bitmap has its last words' positions. Shifted by one
 it gives the bitmaps of all longer phrases, whose popcounts are their numbers in the shard.
 
 1. Shards are written, words are counted over all shards, rare ones fall out.
-2. Every frequent word is extended by one word in every shard; pairs' popcounts are summed, rare pairs fall out.
-3. Shards get their frequent pairs back and extend phrases depth-first, always by a word that makes a frequent pair
-   with the last one; popcounts are summed again.
+2. Every frequent word is extended by one word in every shard; pairs' popcounts are summed over shards, bucket by
+   bucket of pairs' hashes, rare pairs fall out, and each shard gets its frequent pairs back.
+3. Shards extend phrases depth-first, always by a word that makes a frequent pair with the last one; popcounts are
+   summed again.
 4. Counts of all frequent phrases are joined with those of their parts and of what they lie in.
 
 A phrase's parts are as frequent as itself at least, so nothing is lost. No step's memory grows with the corpus: a
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import SPACE, Work, lean, string_buffer, word_places
+from souk.llm.common import SPACE, Work, batches_of, lean, mix, number_rows, pack_numbers, string_buffer, unpack_numbers, word_places
 
 #: A shard ends with the texts that take it to so many words.
 SHARD_WORDS = 2_000_000
@@ -34,6 +35,8 @@ SHARD_WORDS = 2_000_000
 BITS = 16
 #: Blocks that are extended together.
 AT_ONCE = 50_000
+#: Words of all texts for each bucket of pairs: a task sums the pairs of one bucket.
+BUCKET_WORDS = 2_000_000
 #: Bytes of text that are cut into words at once.
 _STRETCH = 1 << 20
 LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -241,16 +244,99 @@ def _shards(batches: Iterator[pa.RecordBatch], with_pairs: bool) -> Iterator[tup
                 shard, held = int(own[lo]), {1: [], 2: []}
             if kind[lo] == 0:
                 packed = batch.column("bitmaps")[lo].as_py()
+            elif kind[lo] == 1:
+                held[1].append(tuple(batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("a", "b")))
             else:
-                held[int(kind[lo])].append(tuple(batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("a", "b")))
+                held[2] += [tuple(_unpack_pairs(x)[:2]) for x in batch.column("bitmaps").slice(lo, hi - lo).to_pylist()]
     if shard is not None:
         yield made()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, own in _shards(batches, False):
-        for a, b, n in own.all_pairs():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), shard), a, b, n)], names=["shard", "a", "b", "n"])
+def _pack_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs of words' ids, sorted, with their numbers."""
+    return pack_numbers(np.diff(a, prepend=0), b, n)
+
+
+def _unpack_pairs(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    steps, b, n = unpack_numbers(packed)
+    return np.cumsum(steps, dtype=np.int64), b.astype(np.int64), n.astype(np.int64)
+
+
+def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their sums."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = np.flatnonzero(np.diff(key, prepend=np.uint64(0)) != 0)
+    if len(key) and key[0] == 0:
+        heads = np.concatenate([np.zeros(1, np.int64), heads])
+    return key[heads], np.add.reduceat(n[order], heads) if len(heads) else n[:0]
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A pair of ids, both below 2**32, as one number."""
+    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+
+
+def _pairs(buckets: int):
+    """A shard's pairs in packets, one for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for shard, own in _shards(batches, False):
+            found = list(own.all_pairs())
+            if not found:
+                continue
+            key, n = _sums(np.concatenate([_key(a, b) for a, b, _ in found]), np.concatenate([x[2] for x in found]))
+            bucket = mix(key) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=False):
+                at = order[lo:hi]
+                yield int(bucket[at[0]]), shard, _pack_pairs(*_halves(key[at]), n[at])
+
+    schema = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("packet", pa.binary())])
+    return lean(lambda batches: batches_of(run(batches), schema, 200))
+
+
+def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _sum_pairs(least: int):
+    """Of packets sorted by bucket: frequent pairs with their sums, in packets without a shard, and those that each shard has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: list[tuple] = []
+        now = None
+
+        def frequent() -> Iterator[tuple]:
+            if not held:
+                return
+            key, n = _sums(np.concatenate([k for _, k, _ in held]), np.concatenate([n for *_, n in held]))
+            key, n = key[n >= least], n[n >= least]
+            for lo in range(0, len(key), 100_000):
+                yield None, _pack_pairs(*_halves(key[lo : lo + 100_000]), n[lo : lo + 100_000])
+            for shard, own, counts in held:
+                ok = np.isin(own, key, assume_unique=True)
+                if ok.any():
+                    yield shard, _pack_pairs(*_halves(own[ok]), counts[ok])
+
+        for batch in batches:
+            for bucket, shard, packet in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from frequent()
+                    now, held = bucket, []
+                a, b, n = _unpack_pairs(packet)
+                held.append((shard, _key(a, b), n))
+        yield from frequent()
+
+    schema = pa.schema([("shard", pa.int64()), ("packet", pa.binary())])
+    return lean(lambda batches: batches_of(run(batches), schema, 200))
+
+
+def _plain_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packet in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpack_pairs(packet)], names=["a", "b", "f"])
 
 
 def _phrases(longest: int):
@@ -271,7 +357,7 @@ def frequent_phrases(docs: DataFrame, work: Work, least: int, longest: int) -> t
     words = index.where("no IS NOT NULL").select("shard", "lang", "no", "word", "n")
     sizes = work.save(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    frequent = work.save(frequent.withColumn("id", F.monotonically_increasing_id()), "words")
+    frequent = work.save(number_rows(work, frequent, [], ["lang", "word"], "id", "numbered"), "words")
     bitmaps = index.where("bitmaps IS NOT NULL").select("shard", F.lit(0).alias("kind"), "bitmaps")
     known = words.join(frequent.select("lang", "word", "id"), ["lang", "word"])
     known = work.save(known.select("shard", F.lit(1).alias("kind"), F.col("no").cast("long").alias("a"), F.col("id").alias("b")), "known")
@@ -282,15 +368,18 @@ def frequent_phrases(docs: DataFrame, work: Work, least: int, longest: int) -> t
             both = both.unionByName(more, allowMissingColumns=True)
         return both.repartition("shard").sortWithinPartitions("shard", "kind")
 
-    pairs = work.save(by_shard(known).mapInArrow(lean(_pairs), "shard long, a long, b long, n long"), "pairs")
-    both = work.save(pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent_pairs")
-    back = pairs.join(both.select("a", "b"), ["a", "b"], "left_semi").select("shard", F.lit(2).alias("kind"), "a", "b")
+    buckets = max(16, (sizes.agg(F.sum("n")).collect()[0][0] or 0) // BUCKET_WORDS)
+    packets = by_shard(known).mapInArrow(_pairs(buckets), "bucket long, shard long, packet binary")
+    packets = packets.repartition("bucket").sortWithinPartitions("bucket")
+    pairs = work.save(packets.mapInArrow(_sum_pairs(least), "shard long, packet binary"), "pairs")
+    both = pairs.where("shard IS NULL").select("packet").mapInArrow(lean(_plain_pairs), "a long, b long, f long")
+    back = pairs.where("shard IS NOT NULL").select("shard", F.lit(2).alias("kind"), F.col("packet").alias("bitmaps"))
     names = [f"w{i}" for i in range(longest)]
     grown = by_shard(known, back).mapInArrow(_phrases(longest), ", ".join(f"{c} long" for c in [*names, "n"]))
     grown = grown.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= least).select(F.array_compact(F.array(*names)).alias("p"), "f")
     of_one, of_two = frequent.select(F.array("id").alias("p"), "f"), both.select(F.array("a", "b").alias("p"), "f")
     phrases = work.save(of_one.union(of_two).union(grown) if longest > 2 else of_one.union(of_two), "phrases")
-    work.drop("index", "known", "pairs", "frequent_pairs")
+    work.drop("index", "known", "pairs", "numbered")
     return frequent, phrases, sizes
 
 

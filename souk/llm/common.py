@@ -296,3 +296,21 @@ def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> It
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def pack_numbers(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, each as narrow as it can be; before them how long and how wide they are, and how they compress."""
+    widths = [next(w for w in (1, 2, 4, 8) if int(c.max(initial=0)) < 1 << 8 * w) for c in columns]
+    raw = b"".join(c.astype(f"<u{w}").tobytes() for c, w in zip(columns, widths, strict=True))
+    return bytes([len(columns), *widths]) + np.array([len(c) for c in columns], "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_numbers(packed: bytes) -> list[np.ndarray]:
+    n = packed[0]
+    widths, sizes = packed[1 : n + 1], np.frombuffer(packed, "<u8", n, n + 1).tolist()
+    total, at, found = sum(w * s for w, s in zip(widths, sizes, strict=True)), 0, []
+    raw = pa.decompress(packed[9 * n + 1 :], decompressed_size=total, codec="zstd", asbytes=True) if total else b""
+    for w, size in zip(widths, sizes, strict=True):
+        found.append(np.frombuffer(raw, f"<u{w}", size, at))
+        at += w * size
+    return found
