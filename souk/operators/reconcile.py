@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from souk.functions import status_for
 from souk.plans import models
 from souk.sources import marketplace as raw
+from souk.sources.runlog import RunLog
 
 # Fixed thresholds: hours (or, for malformed records, the rate) from which a metric warns or fails.
 LIMITS = {"extract": (3.0, 6.0), "stream": (1.0, 3.0), "clean": (2.0, 6.0), "malformed": (0.02, 0.10)}
@@ -34,6 +36,17 @@ def _total(rows: DataFrame, key: str | None = None) -> DataFrame:
     return rows.agg((F.count_distinct(key) if key else F.count(F.lit(1))).alias("n")).select(F.lit(None).cast("date").alias("check_date"), "n")
 
 
+def bounded_series(source: DataFrame, warehouse: Callable[[], DataFrame], entity: str, watermark: datetime | None) -> DataFrame | None:
+    """Rows by day up to the end of the last extract; None where there was none, and so nothing to hold against.
+
+    The bound is a literal, so both scans are pruned by it. The warehouse is read only where there is a bound.
+    """
+    if watermark is None:
+        return None
+    bound = F.col("updated_at") <= F.lit(watermark)
+    return compare_series(_by_day(source.where(bound)), _by_day(warehouse().where(bound)), entity, "day")
+
+
 def row_counts(spark: SparkSession, folder: str) -> DataFrame:
     """All checks: facts by day, dimensions and events in total. Sources count up to the extract's watermark."""
     checked = F.lit(NOW).alias("checked_at")
@@ -47,19 +60,9 @@ def row_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(checked, "*")
 
 
-def run_logs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(extract, stream, clean) runs: an extract of each table, and daily stream and clean runs from the events."""
-    tables = ["categories", "order_items", "orders", "payments", "products", "sellers", "users"]
-    extract = spark.createDataFrame([(t, i) for i, t in enumerate(tables)], "table_name string, i int").select("table_name", (F.lit(NOW) - F.make_interval(hours="i", mins=F.lit(15))).alias("recorded_at"))
-    events = raw.read(spark, folder, "events").withColumn("started_at", F.date_trunc("day", F.col("ts").cast("timestamp")) + F.expr("INTERVAL 20 HOURS"))
-    stream = events.groupBy("started_at").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("event_type") == "error").alias("malformed"))
-    clean = events.where("event_type <> 'error'").groupBy((F.col("started_at") + F.expr("INTERVAL 1 HOUR")).alias("recorded_at")).agg((F.count(F.lit(1)) + F.count_if(F.col("event_id") % 50 == 0)).alias("input_rows"), F.count_if(F.col("event_id") % 50 == 0).alias("duplicates_removed"))
-    return extract, stream, clean
-
-
-def _age(then):
+def _age(then, now: datetime):
     """Hours since an instant, two digits; without a run infinitely many."""
-    hours = F.round((F.unix_micros(F.lit(NOW)) - F.unix_micros(then)) / 3_600_000_000.0, 2)
+    hours = F.round((F.unix_micros(F.lit(now)) - F.unix_micros(then)) / 3_600_000_000.0, 2)
     return F.coalesce(hours, F.lit(float("inf")))
 
 
@@ -70,31 +73,33 @@ def _metric(component: str, entity, metric: str, value, status) -> list:
     return [F.lit(component).alias("component"), entity.alias("entity"), F.lit(metric).alias("metric"), value.cast("double").alias("metric_value"), (F.lit(status) if isinstance(status, str) else status).alias("status")]
 
 
-def health(spark: SparkSession, folder: str) -> DataFrame:
-    """The health snapshot. Malformed records are counted, but judged by their rate."""
-    extract, stream, clean = run_logs(spark, folder)
-    since = F.lit(NOW) - F.expr("INTERVAL 24 HOURS")
+def health(log: RunLog, counts: DataFrame, now: datetime) -> DataFrame:
+    """The health snapshot, from the log of runs and the newest counts. Malformed records are counted, but judged by their rate."""
+    extract = log.of("extract")
+    stream = log.of("stream", "records", "malformed")
+    clean = log.of("clean", "input_rows", "duplicates_removed")
+    since = F.lit(now) - F.expr("INTERVAL 24 HOURS")
     none = F.lit("")
-    last = extract.groupBy("table_name").agg(F.max("recorded_at").alias("last"))
+    last = extract.groupBy("entity").agg(F.max("recorded_at").alias("last"))
     s = stream.where(F.col("started_at") >= since).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed"), F.max("started_at").alias("last"))
     c = clean.where(F.col("recorded_at") >= since).agg(F.coalesce(F.sum("input_rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("duplicates_removed"), F.lit(0)).alias("duplicates"), F.max("recorded_at").alias("last"))
-    r = row_counts(spark, folder).agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("status") != "ok").alias("failed"))
+    r = counts.agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("status") != "ok").alias("failed"))
     rate = F.coalesce(F.try_divide(F.col("malformed"), F.col("records")), F.lit(0.0))
     parts = [
-        last.select(*_metric("extract", F.col("table_name"), "last_run_age_hours", _age(F.col("last")), None)),
+        last.select(*_metric("extract", F.col("entity"), "last_run_age_hours", _age(F.col("last"), now), None)),
         s.select(*_metric("stream", none, "records_last_24h", F.col("records"), "ok")),
         s.select(*_metric("stream", none, "malformed_last_24h", F.col("malformed"), status_for(rate, *map(F.lit, LIMITS["malformed"])))),
-        s.select(*_metric("stream", none, "last_run_age_hours", _age(F.col("last")), None)),
+        s.select(*_metric("stream", none, "last_run_age_hours", _age(F.col("last"), now), None)),
         c.select(*_metric("clean", none, "rows_cleaned_last_24h", F.col("rows"), "ok")),
         c.select(*_metric("clean", none, "duplicates_removed_last_24h", F.col("duplicates"), "ok")),
-        c.select(*_metric("clean", none, "last_run_age_hours", _age(F.col("last")), None)),
+        c.select(*_metric("clean", none, "last_run_age_hours", _age(F.col("last"), now), None)),
         r.select(*_metric("reconcile", none, "checks_run", F.col("checks"), "ok")),
         r.select(*_metric("reconcile", none, "checks_failed", F.col("failed"), F.when(F.col("failed") > 0, "error").otherwise("ok"))),
     ]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return found.select(F.lit(NOW).alias("checked_at"), "*")
+    return found.select(F.lit(now).alias("checked_at"), "*")
 
 
 def latest(snapshots: DataFrame) -> DataFrame:

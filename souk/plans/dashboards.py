@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.functions.columns import cents, half_up_ratio
-from souk.operators import reconcile
-from souk.plans import models
+from souk.plans import models, operations
 from souk.sources import marketplace as raw
 from souk.streaming import live
 
@@ -154,37 +153,37 @@ def _(spark, folder):
 
 @card(22, "checks_failing")
 def _(spark, folder):
-    return reconcile.latest(reconcile.health(spark, folder)).agg(F.count_if(F.col("status") != "ok").alias("failing"))
+    return operations.stored(spark, folder, "health").agg(F.count_if(F.col("status") != "ok").alias("failing"))
 
 
 @card(23, "mismatches")
 def _(spark, folder):
-    return reconcile.latest(reconcile.row_counts(spark, folder)).agg(F.count_if(F.col("difference") != 0).alias("mismatches"))
+    return operations.stored(spark, folder, "counts").agg(F.count_if(F.col("difference") != 0).alias("mismatches"))
 
 
 @card(24, "dead_lettered")
 def _(spark, folder):
-    return reconcile.latest(reconcile.health(spark, folder)).where("metric = 'malformed_last_24h'").select(F.col("metric_value").alias("malformed_last_24h"))
+    return operations.stored(spark, folder, "health").where("metric = 'malformed_last_24h'").select(F.col("metric_value").alias("malformed_last_24h"))
 
 
 @card(25, "extract_freshness")
 def _(spark, folder):
-    rows = reconcile.latest(reconcile.health(spark, folder)).where("component = 'extract' AND metric = 'last_run_age_hours'")
+    rows = operations.stored(spark, folder, "health").where("component = 'extract' AND metric = 'last_run_age_hours'")
     return rows.select("entity", F.col("metric_value").alias("hours_since_last_run")).orderBy(F.desc("hours_since_last_run"))
 
 
 @card(26, "reconciliation")
 def _(spark, folder):
-    rows = reconcile.latest(reconcile.row_counts(spark, folder)).groupBy("entity", "grain")
+    rows = operations.stored(spark, folder, "counts").groupBy("entity", "grain")
     return rows.agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("difference") != 0).alias("mismatched"), F.sum(F.abs("difference")).alias("total_abs_difference")).orderBy(F.desc("mismatched"), "entity")
 
 
 @card(27, "health")
 def _(spark, folder):
-    return reconcile.latest(reconcile.health(spark, folder)).select("component", "entity", "metric", "metric_value", "status").orderBy(F.desc("status"), "component", "entity", "metric")
+    return operations.stored(spark, folder, "health").select("component", "entity", "metric", "metric_value", "status").orderBy(F.desc("status"), "component", "entity", "metric")
 
 
 @card(28, "reconciliation_mismatches")
 def _(spark, folder):
-    rows = reconcile.latest(reconcile.row_counts(spark, folder)).where("difference <> 0")
+    rows = operations.stored(spark, folder, "counts").where("difference <> 0")
     return rows.select("entity", "grain", "check_date", "source_count", "warehouse_count", "difference", "status").orderBy(F.desc(F.abs("difference")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from souk.functions.columns import cents, half_up_ratio, month_number, surrogate_key
 from souk.operators.versions import as_of, scd2_apply, with_version_key
 from souk.plans import staging as stg
+from souk.plans.store import kept
 from souk.sources import marketplace as raw
 
 
@@ -19,20 +20,24 @@ def history(spark: SparkSession, folder: str, build, staged, key: str) -> DataFr
     return scd2_apply(found, second.where(F.col(key) % 97 != 0), key, "updated_at", raw.REMOVED)
 
 
+@kept
 def dim_users(spark: SparkSession, folder: str) -> DataFrame:
     rows = with_version_key(history(spark, folder, raw.users, stg.users_of, "user_id"), "user_id", "user_sk")
     return rows.select("user_sk", "user_id", "email", "full_name", "phone", "city", "country_code", "valid_from", "valid_to", "is_current")
 
 
+@kept
 def dim_products(spark: SparkSession, folder: str) -> DataFrame:
     rows = with_version_key(history(spark, folder, raw.products, stg.products_of, "product_id"), "product_id", "product_sk")
     return rows.select("product_sk", "product_id", "seller_id", "category_id", "product_name", "sku", "price", "cost", "stock", "is_active", "gross_margin_ratio", "valid_from", "valid_to", "is_current")
 
 
+@kept
 def dim_sellers(spark: SparkSession, folder: str) -> DataFrame:
     return stg.stg_sellers(spark, folder).select(surrogate_key(F.col("seller_id")).alias("seller_sk"), "seller_id", "seller_name", "email", "city", "country_code", "rating")
 
 
+@kept
 def dim_categories(spark: SparkSession, folder: str) -> DataFrame:
     rows = stg.stg_categories(spark, folder)
     parents = rows.select(F.col("category_id").alias("parent_category_id"), F.col("category_name").alias("parent_category_name"))
@@ -48,12 +53,14 @@ def dim_date(spark: SparkSession, folder: str) -> DataFrame:
     return days.select(day, F.year(day).alias("year"), F.quarter(day).alias("quarter"), F.month(day).alias("month"), F.date_format(day, "MMMM").alias("month_name"), F.dayofmonth(day).alias("day_of_month"), of_week.alias("day_of_week"), F.date_format(day, "EEEE").alias("day_name"), (of_week >= 6).alias("is_weekend"))
 
 
+@kept
 def fct_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with the version of their customer at the time, or the current one where none was."""
     rows = as_of(stg.stg_orders(spark, folder), dim_users(spark, folder), "user_id", "created_at", {"user_sk": "user_sk"})
     return rows.select("order_id", "user_id", "user_sk", "order_status", "currency", "shipping_city", "total_amount", "order_date", "created_at", "updated_at", "is_terminal")
 
 
+@kept
 def fct_order_items(spark: SparkSession, folder: str) -> DataFrame:
     order = stg.stg_orders(spark, folder).select("order_id", "user_id", "order_status", "order_date")
     product = dim_products(spark, folder).where("is_current").select("product_id", "seller_id", "category_id")
@@ -61,12 +68,14 @@ def fct_order_items(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("order_item_id", "order_id", "user_id", "product_id", "seller_id", "category_id", "quantity", "unit_price", "line_amount", "order_status", "order_date", "created_at", "updated_at")
 
 
+@kept
 def fct_payments(spark: SparkSession, folder: str) -> DataFrame:
     order = stg.stg_orders(spark, folder).select("order_id", "user_id", "order_status", "order_date")
     rows = stg.stg_payments(spark, folder).join(order, "order_id")
     return rows.select("payment_id", "order_id", "user_id", "payment_method", "amount", "payment_status", "order_status", "order_date", "created_at", "updated_at")
 
 
+@kept
 def fct_events(spark: SparkSession, folder: str) -> DataFrame:
     return stg.stg_events(spark, folder).select("event_id", "user_id", "session_id", "product_id", "event_type", "event_time", "event_date", "event_hour", "city", "device_type", "platform_version", "schema_version", "consumed_at")
 

@@ -101,9 +101,12 @@ runs AS (SELECT date_trunc('day', ts) + INTERVAL 20 HOUR AS started_at, count(*)
   count(*) FILTER (event_type <> 'error' AND event_id % 50 = 0) AS duplicates FROM events GROUP BY ALL),
 last_runs AS (SELECT coalesce(sum(records), 0)::DOUBLE AS records, coalesce(sum(malformed), 0)::DOUBLE AS malformed, round(date_diff('second', max(started_at), TIMESTAMP '2024-01-31') / 3600.0, 2) AS age FROM runs WHERE started_at >= TIMESTAMP '2024-01-30'),
 last_cleans AS (SELECT coalesce(sum(cleaned), 0)::DOUBLE AS cleaned, coalesce(sum(duplicates), 0)::DOUBLE AS duplicates, round(date_diff('second', max(started_at) + INTERVAL 1 HOUR, TIMESTAMP '2024-01-31') / 3600.0, 2) AS age FROM runs WHERE started_at + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-30'),
+newest AS (
+  SELECT 'categories' AS t, max(updated_at) AS newest_at FROM stg_categories UNION ALL SELECT 'order_items', max(updated_at) FROM stg_order_items UNION ALL SELECT 'orders', max(updated_at) FROM stg_orders
+  UNION ALL SELECT 'payments', max(updated_at) FROM stg_payments UNION ALL SELECT 'products', (SELECT max(updated_at) FROM stg_products) UNION ALL SELECT 'sellers', max(updated_at) FROM stg_sellers UNION ALL SELECT 'users', (SELECT max(updated_at) FROM stg_users)),
+last_extracts AS (SELECT t, round(date_diff('microsecond', newest_at, TIMESTAMP '2024-01-31') / 3600000000.0, 2) AS age FROM newest WHERE newest_at IS NOT NULL),
 health_rows AS (
-  SELECT 'extract' AS component, t AS entity, 'last_run_age_hours' AS metric, i + 0.25 AS metric_value, CASE WHEN i + 0.25 >= 6 THEN 'error' WHEN i + 0.25 >= 3 THEN 'warn' ELSE 'ok' END AS status
-    FROM (VALUES ('categories', 0), ('order_items', 1), ('orders', 2), ('payments', 3), ('products', 4), ('sellers', 5), ('users', 6)) v(t, i)
+  SELECT 'extract' AS component, t AS entity, 'last_run_age_hours' AS metric, age AS metric_value, CASE WHEN age >= 6 THEN 'error' WHEN age >= 3 THEN 'warn' ELSE 'ok' END AS status FROM last_extracts
   UNION ALL SELECT 'stream', '', 'records_last_24h', records, 'ok' FROM last_runs
   UNION ALL SELECT 'stream', '', 'malformed_last_24h', malformed, CASE WHEN malformed / records >= 0.1 THEN 'error' WHEN malformed / records >= 0.02 THEN 'warn' ELSE 'ok' END FROM last_runs
   UNION ALL SELECT 'stream', '', 'last_run_age_hours', age, CASE WHEN age >= 3 THEN 'error' WHEN age >= 1 THEN 'warn' ELSE 'ok' END FROM last_runs

@@ -14,7 +14,7 @@ from souk.functions.columns import HOUR_WEIGHTS
 from souk.session import scratch
 from souk.operators import checks, clean, materialise, reconcile
 from souk.operators.versions import as_of, latest_version, since, upsert
-from souk.plans import models, staging
+from souk.plans import models, operations, staging
 from souk.plans.dashboards import CARDS
 from souk.plans.oracles import model, sql
 from souk.sources import lake
@@ -146,7 +146,7 @@ add("dq_one_current_user", lambda s, d: checks.many_current(models.dim_users(s,
 add("dq_one_current_product", lambda s, d: checks.many_current(models.dim_products(s, d), "product_id"), sql("SELECT product_id, count(*) AS n FROM dim_products WHERE is_current GROUP BY 1 HAVING count(*) > 1"))
 add("dq_freshness", lambda s, d: checks.freshness(raw.raw_events(s, d), "consumed_at", reconcile.NOW, 3.0, 12.0), sql("SELECT round(date_diff('microsecond', max(consumed_at), TIMESTAMP '2024-01-31') / 3600000000.0, 2)::DOUBLE AS age_hours, CASE WHEN age_hours >= 12 THEN 'error' WHEN age_hours >= 3 THEN 'warn' ELSE 'ok' END AS status FROM stg_events"))
 add("dq_row_counts", lambda s, d: reconcile.row_counts(s, d), sql("SELECT * FROM row_counts"))
-add("dq_health", lambda s, d: reconcile.health(s, d), sql("SELECT * FROM health"))
+add("dq_health", lambda s, d: operations.stored(s, d, "health"), sql("SELECT * FROM health"))
 
 
 def _series(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,17 +160,8 @@ add("full_outer_series", _series, "WITH s AS (SELECT o_orderdate::DATE AS d, cou
 
 
 # Streaming, as far as a batch gives the answer of a finished stream.
-def _messages(spark: SparkSession, folder: str) -> DataFrame:
-    """The events as messages; error events are broken in one of five ways."""
-    rows = raw.read(spark, folder, "events")
-    key = F.col("event_id")
-    good = F.to_json(F.struct(F.concat(F.lit("evt-"), key).alias("event_id"), F.lit(1).alias("schema_version"), F.col("event_type"), F.col("user_id"), F.lit("s").alias("session_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("event_time"))).cast("binary")
-    broken = F.element_at(F.array(F.lit(b""), F.unhex(F.lit("FFFE00")), F.lit(b'{"event_id": "x'), F.lit(b"[1, 2]"), F.lit(b'{"event_id": "x", "user_id": 5}')), (key % 5 + 1).cast("int"))
-    return rows.select(F.col("user_id").cast("string").cast("binary").alias("key"), F.when(F.col("event_type") == "error", broken).otherwise(good).alias("value"), F.lit("events").alias("topic"), (F.col("user_id") % 6).cast("int").alias("partition"), key.alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"))
-
-
 _ERRORS = "CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'empty payload' WHEN 1 THEN 'not valid utf-8' WHEN 2 THEN 'invalid json' WHEN 3 THEN 'payload is array, expected an object' ELSE 'missing required field(s): event_type,session_id,event_time' END END"
-add("parse_dlq", lambda s, d: parse_events(_messages(s, d)).select("offset", "error", "event_type", "user_id", "event_time"), f"SELECT event_id AS \"offset\", {_ERRORS} AS error, CASE WHEN event_type <> 'error' THEN event_type END AS event_type, CASE WHEN event_type <> 'error' THEN user_id WHEN event_id % 5 = 4 THEN 5 END::BIGINT AS user_id, CASE WHEN event_type <> 'error' THEN date_trunc('second', ts)::TIMESTAMP END AS event_time FROM events")
+add("parse_dlq", lambda s, d: parse_events(raw.messages(s, d)).select("offset", "error", "event_type", "user_id", "event_time"), f"SELECT event_id AS \"offset\", {_ERRORS} AS error, CASE WHEN event_type <> 'error' THEN event_type END AS event_type, CASE WHEN event_type <> 'error' THEN user_id WHEN event_id % 5 = 4 THEN 5 END::BIGINT AS user_id, CASE WHEN event_type <> 'error' THEN date_trunc('second', ts)::TIMESTAMP END AS event_time FROM events")
 add("live_dedup", lambda s, d: live.live_events(raw.sent_events(s, d)).select("event_id", "event_type", "ingested_at"), sql("SELECT event_id, event_type, consumed_at AS ingested_at FROM live"))
 add("per_minute_events", lambda s, d: live.events_per_minute(live.live_events(raw.sent_events(s, d))), sql("SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, event_type, count(*) AS events FROM live GROUP BY 1, 2"))
 add("per_minute_orders", lambda s, d: live.orders_per_minute(live.live_events(raw.sent_events(s, d))), sql("SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, count(*) AS orders FROM live WHERE event_type = 'purchase' GROUP BY 1"))
@@ -186,6 +177,42 @@ add("mat_view", lambda s, d: materialise.view(models.mart_daily_gmv(s, d), "kept
 add("mat_table", lambda s, d: materialise.table(models.mart_funnel_daily(s, d), scratch(s, "funnel"), ("event_date",)), sql("SELECT * FROM mart_funnel_daily"))
 add("dq_snapshot", _snapshot, sql("SELECT * FROM row_counts"))
 
+# The pipeline in operation: topics, bounded runs, their log, a view kept by a stream, counts up to a watermark.
+_BROKEN = _ERRORS
+add(
+    "offset_range_read",
+    operations.offset_range_read,
+    """SELECT partition, "offset", key, timestamp, n_bytes FROM (
+      SELECT user_id % 6 AS partition, row_number() OVER (PARTITION BY user_id % 6 ORDER BY event_id) - 1 AS "offset", count(*) OVER (PARTITION BY user_id % 6) AS n, user_id::VARCHAR AS key, ts::TIMESTAMP AS timestamp,
+        CASE WHEN event_type <> 'error' THEN length(to_json({event_id: 'evt-' || event_id, schema_version: 1, event_type: event_type, user_id: user_id, session_id: 's', event_time: strftime(ts, '%Y-%m-%dT%H:%M:%SZ')}))
+          ELSE CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 15 WHEN 3 THEN 6 ELSE 31 END END AS n_bytes
+      FROM events) WHERE "offset" >= n // 4 AND "offset" < n - n // 4""",
+)
+add(
+    "ingest_bounded",
+    operations.ingest_bounded,
+    f"""SELECT least((row_number() OVER (ORDER BY event_id) - 1) // (SELECT count(*) // 3 FROM events), 2)::INTEGER AS run, CASE WHEN event_type = 'error' THEN 'dead_letters' ELSE 'events' END AS kind,
+      {_BROKEN} AS error, ts::TIMESTAMP AS consumed_at FROM events""",
+)
+add(
+    "run_log",
+    operations.run_log,
+    sql("""SELECT 'extract' AS component, NULL AS run_id, t AS entity, 'ok' AS status, 'rows' AS metric, n::DOUBLE AS value FROM (
+      SELECT 'categories' AS t, count(*) AS n FROM stg_categories UNION ALL SELECT 'order_items', count(*) FROM stg_order_items UNION ALL SELECT 'orders', count(*) FROM stg_orders UNION ALL SELECT 'payments', count(*) FROM stg_payments
+      UNION ALL SELECT 'products', (SELECT count(*) FROM part) UNION ALL SELECT 'sellers', count(*) FROM stg_sellers UNION ALL SELECT 'users', (SELECT count(*) FROM customer))
+    UNION ALL SELECT 'stream', 'stream-' || i, 'events', 'ok', m, CASE m WHEN 'records' THEN count(*) ELSE count(*) FILTER (event_type = 'error') END FROM (
+      SELECT CASE WHEN ts::DATE = (SELECT max(ts)::DATE FROM events) THEN 1 ELSE 0 END AS i, event_type FROM events), (VALUES ('records'), ('malformed')) v(m) GROUP BY i, m
+    UNION ALL SELECT 'clean', 'clean-0', '', 'ok', m, CASE m WHEN 'input_rows' THEN cleaned WHEN 'output_rows' THEN cleaned - duplicates ELSE duplicates END FROM runs, (VALUES ('input_rows'), ('output_rows'), ('duplicates_removed')) v(m)
+      WHERE started_at = (SELECT max(started_at) FROM runs)"""),
+)
+add("mat_mv_minutes", operations.mat_mv_minutes, sql("SELECT date_trunc('minute', event_time)::TIMESTAMP AS minute, event_type, count(*) AS events FROM live GROUP BY 1, 2"))
+add(
+    "dq_reconcile_bounded",
+    operations.reconcile_bounded,
+    """SELECT e.entity, 'day' AS grain, o_orderdate::DATE AS check_date, count(*) AS source_count, count(*) AS warehouse_count, 0::BIGINT AS difference, 'ok' AS status
+      FROM orders, (VALUES ('orders'), ('payments')) e(entity) WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY ALL""",
+)
+
 # Simulation.
 _WEIGHTS = list(HOUR_WEIGHTS)
 add("traffic_multiplier", lambda s, d: raw.read(s, d, "events").select("event_id", traffic_multiplier(F.col("ts").cast("timestamp") + F.expr("INTERVAL 240 DAYS") + F.make_interval(days=(F.col("event_id") % 90).cast("int"))).alias("multiplier")), f"SELECT event_id, ({_WEIGHTS}::DOUBLE[])[hour(l) + 1] * CASE WHEN strftime(l, '%m-%d') IN ('09-09', '11-11', '12-12') THEN 5.0 ELSE 1.0 END AS multiplier FROM (SELECT event_id, ts + INTERVAL 240 DAY + to_days((event_id % 90)::INTEGER) + INTERVAL 7 HOUR AS l FROM events)")

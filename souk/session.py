@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -24,11 +26,20 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+_own: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's name in the one that all executors share (``spark.checkpoint.dir``); on a single machine, if that is unset, a temporary one."""
+    """A new folder's name in the one that all executors share (``spark.checkpoint.dir``).
+
+    Where that is unset a single machine has one of its own, which goes when the process ends.
+    """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = Path(tempfile.mkdtemp(prefix="souk-")).as_uri()
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="souk-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        shared = Path(_own[0]).as_uri()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -186,3 +186,20 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
 def sent_events(spark: SparkSession, folder: str) -> DataFrame:
     """The same deliveries as they were sent: the live path takes the exact names of the steps only."""
     return raw_events(spark, folder).withColumn("event_type", F.lower(F.trim("event_type")))
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as messages; error events are broken in one of five ways."""
+    rows = read(spark, folder, "events")
+    key = F.col("event_id")
+    good = F.to_json(F.struct(F.concat(F.lit("evt-"), key).alias("event_id"), F.lit(1).alias("schema_version"), F.col("event_type"), F.col("user_id"), F.lit("s").alias("session_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("event_time"))).cast("binary")
+    broken = F.element_at(F.array(F.lit(b""), F.unhex(F.lit("FFFE00")), F.lit(b'{"event_id": "x'), F.lit(b"[1, 2]"), F.lit(b'{"event_id": "x", "user_id": 5}')), (key % 5 + 1).cast("int"))
+    return rows.select(F.col("user_id").cast("string").cast("binary").alias("key"), F.when(F.col("event_type") == "error", broken).otherwise(good).alias("value"), F.lit("events").alias("topic"), (F.col("user_id") % 6).cast("int").alias("partition"), key.alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+def sent_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """All deliveries of the clickstream as JSON messages, keyed by user, at the instants when they were consumed."""
+    rows = sent_events(spark, folder)
+    at = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("event_time")
+    fields = ["event_id", "schema_version", "event_type", "user_id", "session_id", "product_id", at, "city", "device", "device_type", "platform_version"]
+    return rows.select(F.col("user_id").cast("binary").alias("key"), F.to_json(F.struct(*fields)).cast("binary").alias("value"), F.col("consumed_at").alias("timestamp"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -75,25 +75,35 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
     return parsed.where("error IS NOT NULL").select("topic", "partition", "offset", "consumed_at", "error", F.coalesce(raw, F.lit("")).alias("raw_value"))
 
 
-def ingest(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, on_batch: Callable[[int, int, int], None] | None = None) -> StreamingQuery:
+class TooManyMalformed(Exception):
+    """A batch has more dead letters than its source is trusted with."""
+
+
+def ingest(
+    spark: SparkSession, source: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, on_batch: Callable[[int, int, int], None] | None = None, most_malformed: int | None = None,
+) -> StreamingQuery:
     """Write a stream's events and dead letters, each batch to folders named by its number.
 
-    A batch that is run again after a failure overwrites its own folders, so nothing is lost or doubled.
-    ``trigger`` as for writeStream (``processingTime`` or ``availableNow``); ``on_batch`` gets each batch's
-    number, events and dead letters.
+    A batch that is run again after a failure overwrites its own folders, so nothing is lost or doubled. Counts are
+    observed while the events are written; only a batch with dead letters is read twice. ``trigger`` as for
+    writeStream (``processingTime`` or ``availableNow``); ``on_batch`` gets each batch's number, events and dead
+    letters. A batch of more than ``most_malformed`` dead letters writes those and ends the stream.
     """
 
+    def put(rows: DataFrame, name: str, number: int) -> None:
+        placed = rows.withColumns({"dt": F.date_format("consumed_at", "yyyy-MM-dd"), "hr": F.date_format("consumed_at", "HH")})
+        placed.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "hr", "batch").parquet(f"{out}/{name}")
+
     def write(batch: DataFrame, number: int) -> None:
-        parsed = parse_events(batch).persist()
-        try:
-            n = parsed.groupBy().agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad")).collect()[0]
-            for name, rows, some in (("events", events(parsed), n.good), ("dead_letters", dead_letters(parsed), n.bad)):
-                if some:
-                    placed = rows.withColumns({"dt": F.date_format("consumed_at", "yyyy-MM-dd"), "hr": F.date_format("consumed_at", "HH")})
-                    placed.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "hr", "batch").parquet(f"{out}/{name}")
-            if on_batch:
-                on_batch(number, n.good, n.bad)
-        finally:
-            parsed.unpersist()
+        seen = Observation()
+        parsed = parse_events(batch)
+        put(events(parsed.observe(seen, F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad"))), "events", number)
+        good, bad = seen.get["good"], seen.get["bad"]
+        if bad:
+            put(dead_letters(parsed), "dead_letters", number)
+        if on_batch:
+            on_batch(number, good, bad)
+        if most_malformed is not None and bad > most_malformed:
+            raise TooManyMalformed(f"{bad} malformed messages in batch {number}, {most_malformed} are allowed")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
