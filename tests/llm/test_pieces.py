@@ -24,13 +24,13 @@ def rows():
     parts = [*"ab  ▁▁\n\t.,éß　\xa0\x00\x1c\U0001f600​﻿漢字́ ", "the", "ing", "<s>", "</s>", "<0x0A>", "<unk>", "   "]
     odd = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(3000)]
     odd += [(None, "null id"), (None, None), (9001, None), (9002, ""), (9003, " "), (9004, "▁"), (9005, " " * 3000), (9006, "x" * 50_000)]
-    odd += [(9007, "long " * 100_000), (9008, "again"), (9008, "again"), (9008, "another of that id")]
+    odd += [(-5, "a negative id"), (9007, "long " * 100_000), (9008, "again"), (9008, "again"), (9008, "another of that id")]
     return odd
 
 
 def test_ids_and_text(spark, rows, library, monkeypatch):
     monkeypatch.setattr(pieces, "BLOCK_DISTINCT", 500)  # several blocks a task
-    docs = spark.createDataFrame([(i, t, "c", 1, "i") for i, t in rows], "doc_id long, text string, chunk string, no int, ids string")
+    docs = spark.createDataFrame([(i, t, "c", 1, "i") for i, t in rows], "doc_id long, text string, block string, no int, ids string")
 
     def key(x):
         return x[0] is not None, x[0] or 0, *x[1:]
