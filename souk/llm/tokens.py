@@ -14,11 +14,13 @@ import sys
 from array import array
 from functools import cache
 
+#: White space as the tokenizer knows it (Python's own has four control characters more).
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: What a text may not hold to be cut at single spaces and line ends alone.
-_ODD_ASCII = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-_ODD_MORE = tuple("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+_ODD_ASCII = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c")
+_ODD_MORE = tuple(x for x in _SPACES if x > "\x7f")
 assert array("I").itemsize == 4 and sys.byteorder == "little"
-_pieces = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
+_pieces = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]").findall
 #: Marks that a byte-level tokenizer never joins to a letter before them; none that its special tokens have.
 _MARKS = ".,;:!?%$&*#()[]{}\"/+=~^@"
 
