@@ -123,8 +123,15 @@ def common_prefixes(work: Work, levels: list[DataFrame], suffixes: DataFrame) ->
 
 
 def nearest_earlier(at: list[int], lcp: list[int]) -> tuple[list[int], list[int]]:
-    """Of neighbours in the array, by place in the corpus and lines shared with the one before: the most lines that each shares with an earlier place among them; and the numbers of those that found none before them, or none behind them, up to where nothing is shared."""
-    longest, open_before, stack, n = [0] * len(at), set(), [], len(at)
+    """Of a range of the array, by place in the corpus and lines shared with the one before: the most lines that each
+    shares with an earlier place among them; and the numbers of those that other ranges have to do with.
+
+    Towards a range's end a place may gain what all between share, and no more; where it has that much already it is
+    settled. For other ranges an earlier place that shares as much does instead of a later one. So of the places with
+    no earlier one between them and an end two remain for each number of shared lines, which falls towards that end:
+    a few of a range, whatever repeats in it.
+    """
+    longest, stack, n = [0] * len(at), [], len(at)
     for t in range(n):
         low = lcp[t]
         if low == 0 and t:
@@ -135,10 +142,15 @@ def nearest_earlier(at: list[int], lcp: list[int]) -> tuple[list[int], list[int]
             low = min(low, below)
         if stack:
             longest[t] = max(longest[t], low)
-        elif low:
-            open_before.add(t)
         stack.append((t, low))
-    return longest, sorted(open_before | {t for t, _ in stack})
+    kept = set()
+    shared = np.minimum.accumulate(np.array(lcp, np.int64))  # with what stands before the range
+    first = np.flatnonzero((np.minimum.accumulate(np.array(at, np.int64)) == at) & (shared > 0)).tolist()
+    kept.update(t for t, later in zip(first, [*first[1:], -1], strict=False) if longest[t] < shared[t] or later < 0 or shared[later] < shared[t])
+    shared = np.append(np.minimum.accumulate(np.array(lcp[:0:-1], np.int64))[::-1], _LAST)  # with what stands behind it
+    last = [t for t, _ in stack]
+    kept.update(t for earlier, t in zip([-1, *last], last, strict=False) if longest[t] < shared[t] or earlier < 0 or shared[earlier] < shared[t])
+    return longest, sorted(kept)
 
 
 def longest_earlier(work: Work, array: DataFrame) -> DataFrame:
@@ -165,8 +177,8 @@ def longest_earlier(work: Work, array: DataFrame) -> DataFrame:
     columns = ("rank", "at", "line", "lcp")
     ordered = array.select(*columns).repartitionByRange("rank").sortWithinPartitions("rank")
     found = work.save(ordered.mapInArrow(lean(run), ddl), "ranges")
-    # Open ones are the chains of ever earlier places from a range's ends: some log(n) of n in random order.
-    ends = found.where("open").select(*columns).coalesce(1).sortWithinPartitions("rank").mapInArrow(lean(run), ddl)
+    # A few rows a range.
+    ends = found.where("open").select(*columns).repartition(1).sortWithinPartitions("rank").mapInArrow(lean(run), ddl)
     both = found.select("at", "line", "lines").unionByName(ends.select("at", "line", "lines"))
     return both.groupBy("at", "line").agg(F.max("lines").alias("lines")).where("lines > 0")
 

@@ -239,6 +239,24 @@ def test_nearest_earlier_by_ranges():
         assert longest == want
 
 
+def test_a_common_line_leaves_few_open():
+    """Places of one line with nothing else in common, in ascending order: whatever their number, a range leaves two."""
+    n = 20_000
+    assert lines.nearest_earlier(list(range(0, 2 * n, 2)), [1] * n) == ([0, *[1] * (n - 1)], [0, n - 1])
+    longest, kept = lines.nearest_earlier(list(range(2 * n, 0, -2)), [1] * n)
+    assert longest == [*[1] * (n - 1), 0] and len(kept) <= 2
+
+
+def test_common_line_and_unique_ones(spark):
+    rows = spark.range(4000).selectExpr("id AS doc_id", "concat('one common line of six words\n', 'own ', id, ' a b c\n', 'u', id % 1000, ' v w x y') AS text")
+    got = {r.row.doc_id: r.n_removed for r in lines.dedup_lines(rows).select("row", "n_removed").collect()}
+    assert got == {i: (i > 0) + (i >= 1000) for i in range(4000)}
+    work = common.Work(spark, "lines")
+    array = spark.range(4000).selectExpr("id AS rank", "id * 3 AS at", "0L AS line", "1L AS lcp")
+    assert lines.longest_earlier(work, array).where("lines = 1").count() == 3999
+    assert spark.read.parquet(f"{work.uri}/ranges").where("open").count() <= 3 * spark.read.parquet(f"{work.uri}/ranges").rdd.getNumPartitions() + 3
+
+
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, "w1 w2"), (2, None), (3, "!!"), (4, "the same last LINE of all texts and one more thing"), (5, "A, b c"), (5, "a b"), (None, "tail")], "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -313,6 +331,22 @@ def test_tokens_are_the_librarys(docs):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_spaces_and_controls():
+    """Everything that Unicode or Python takes for a space or a control character, between letters, marks and digits."""
+    import sys
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    own, library = tokens.encoder(tokens.vocabulary_file()), Tokenizer.from_file(tokens.vocabulary_file())
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() or unicodedata.category(c) in ("Cc", "Zs", "Zl", "Zp", "Cf")]
+    rng = random.Random(6)
+    for i in range(30_000):
+        others = ["a", "'s", "'ll", "B1", ".", " ", "\n", "é", odd[i % len(odd)], rng.choice(odd), rng.choice("\x1c\x1d\x1e\x1f")]
+        text = "".join(rng.choice(others) for _ in range(rng.randint(1, 9)))
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def _ids(text, end):
     from tokenizers import Tokenizer
 
