@@ -42,6 +42,46 @@ def scd2_apply(history: DataFrame | None, source: DataFrame, key: str, updated:
     return history.where("valid_to IS NOT NULL").unionByName(changed)
 
 
+def scd2_from_changes(changes: DataFrame, key: str, at: str, columns: list[str], sequence: str, removed: str | None = None) -> DataFrame:
+    """The history (key, columns, removed, sequence, valid_from, valid_to) that a full log of changes tells.
+
+    Each change is valid until its key's next one; of changes at one instant the last by ``sequence`` counts. A change
+    with ``removed`` is kept as one too, without values, so that changes that come later can be told into it
+    (``scd2_merge_changes``); ``scd2_versions`` shows what a reader wants. Changes may come in any order; those
+    without a key or an instant are left aside.
+
+    Snapshots of the newest rows (``scd2_apply``) can't rebuild this: of several changes between two snapshots they
+    see the last one only, of a change that comes late nothing if a later one was seen, and a removal is dated by the
+    snapshot that missed the row. Their history goes forward from the first snapshot and is as fine as they are.
+    """
+    gone = F.coalesce(F.col(removed).cast("boolean"), F.lit(False)) if removed else F.lit(False)
+    values = (F.when(~gone, F.col(c)).alias(c) for c in columns)
+    told = changes.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, *values, gone.alias("removed"), F.col(sequence).alias("sequence"), F.col(at).alias("valid_from"))
+    last = latest_version(told, [key, "valid_from"], "sequence")
+    return last.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(key).orderBy("valid_from")))
+
+
+def scd2_merge_changes(history: DataFrame, changes: DataFrame, key: str, at: str, columns: list[str], sequence: str, removed: str | None = None) -> DataFrame:
+    """A history of ``scd2_from_changes`` with more changes: several of one key, and late ones, which split the interval that they fall in.
+
+    The result is what the whole log would tell, in whatever parts it comes, and parts that come again change
+    nothing. Only keys with changes are told anew.
+    """
+    more = scd2_from_changes(changes, key, at, columns, sequence, removed).drop("valid_to")
+    touched = more.select(key).distinct()
+    both = history.join(touched, key, "left_semi").select(*more.columns).unionByName(more)
+    told = scd2_from_changes(both, key, "valid_from", columns, "sequence", "removed")
+    return history.join(touched, key, "left_anti").select(*told.columns).unionByName(told)
+
+
+def scd2_versions(history: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, columns, valid_from, valid_to) of a history of ``scd2_from_changes``: a version ends where a column changes or the key is removed, not at every change."""
+    by_time = Window.partitionBy(key).orderBy("valid_from")
+    state = F.struct("removed", *columns)
+    starts = history.withColumns({"_state": state, "_before": F.lag(state).over(by_time)}).where("_before IS NULL OR NOT (_before <=> _state)")
+    return starts.withColumn("valid_to", F.lead("valid_from").over(by_time)).where("NOT removed").select(key, *columns, "valid_from", "valid_to")
+
+
 def with_version_key(history: DataFrame, key: str, name: str) -> DataFrame:
     """Add the surrogate key of each version, and whether it is the current one."""
     sk = surrogate_key(F.col(key), F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss"))

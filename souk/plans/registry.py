@@ -12,9 +12,9 @@ from pyspark.sql.types import DecimalType
 from souk.functions import traffic_multiplier
 from souk.functions.columns import HOUR_WEIGHTS
 from souk.session import scratch
-from souk.operators import checks, clean, materialise, reconcile
+from souk.operators import checks, clean, declared, materialise, reconcile
 from souk.operators.versions import as_of, latest_version, since, upsert
-from souk.plans import models, operations, staging
+from souk.plans import models, operations, quality, staging
 from souk.plans.dashboards import CARDS
 from souk.plans.oracles import model, sql
 from souk.sources import lake
@@ -213,6 +213,47 @@ add(
       FROM orders, (VALUES ('orders'), ('payments')) e(entity) WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY ALL""",
 )
 
+# Declared tests, freshness of sources, differences of keys, histories from logs of changes.
+def _declared_sql(test: declared.DataTest) -> str:
+    column, model = test.column, test.model
+    failures = {
+        "not_null": f"SELECT count(*) FROM {model} WHERE {column} IS NULL",
+        "unique": f"SELECT count(*) FROM (SELECT {column} FROM {model} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)",
+        "accepted_values": f"SELECT count(*) FROM {model} WHERE {column} NOT IN ({', '.join(map(repr, test.values))})",
+        "relationships": f"SELECT count(*) FROM {model} m WHERE {column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {test.to and test.to[0]} t WHERE t.{test.to and test.to[1]} = m.{column})",
+    }[test.kind]
+    return f"SELECT '{model}' AS model, '{column}' AS \"column\", '{test.kind}' AS test, ({failures}) AS failures"
+
+
+add("dq_declared", quality.dq_declared, sql("\nUNION ALL ".join(map(_declared_sql, quality.TESTS))))
+
+
+def _age_sql(source: str, rows: str, column: str, warn: float, error: float) -> str:
+    age = f"coalesce(round(date_diff('microsecond', max({column}), TIMESTAMP '1998-08-04') / 3600000000.0, 2), 'inf'::DOUBLE)"
+    return f"SELECT '{source}' AS source, max({column})::TIMESTAMP AS newest, {age} AS age_hours, CASE WHEN {age} >= {error} THEN 'error' WHEN {age} >= {warn} THEN 'warn' ELSE 'ok' END AS status FROM {rows}"
+
+
+_AS_LOADED = "(SELECT TIMESTAMP '1995-01-01' AS updated_at FROM {})"
+_DATED = {"users": _AS_LOADED.format("customer"), "products": _AS_LOADED.format("part")}
+add("dq_source_freshness", quality.dq_source_freshness, sql(" UNION ALL ".join(_age_sql(t, _DATED.get(t, f"stg_{t}"), *limits) for t, limits in quality.FRESHNESS.items())))
+_LOST = "o_orderkey % 997 = 5 AND o_orderkey % 2 = 0"
+add(
+    "key_difference",
+    quality.order_key_difference,
+    f"""WITH w AS (SELECT o_orderkey AS key FROM orders WHERE NOT ({_LOST}) UNION ALL SELECT o_orderkey FROM orders, range(2) WHERE NOT ({_LOST}) AND o_orderkey % 1999 = 7 UNION ALL SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 2999 = 1),
+      a AS (SELECT key, sum(s)::BIGINT AS source_count, sum(1 - s)::BIGINT AS warehouse_count FROM (SELECT o_orderkey AS key, 1 AS s FROM orders UNION ALL SELECT key, 0 FROM w) GROUP BY 1)
+      SELECT * FROM a WHERE source_count <> warehouse_count""",
+)
+add(
+    "scd2_from_changelog",
+    quality.scd2_from_changelog,
+    """WITH told AS (SELECT user_id, ts, event_type = 'error' AS removed, CASE WHEN event_type <> 'error' THEN event_type END AS state, CASE WHEN event_type <> 'error' THEN value >= 50 END AS large
+        FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1),
+      starts AS (SELECT * FROM told WINDOW w AS (PARTITION BY user_id ORDER BY ts) QUALIFY lag(ts) OVER w IS NULL OR lag(removed) OVER w IS DISTINCT FROM removed OR lag(state) OVER w IS DISTINCT FROM state OR lag(large) OVER w IS DISTINCT FROM large),
+      closed AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to FROM starts)
+      SELECT user_id, state, large, ts::TIMESTAMP AS valid_from, valid_to::TIMESTAMP AS valid_to FROM closed WHERE NOT removed""",
+)
+
 # Simulation.
 _WEIGHTS = list(HOUR_WEIGHTS)
 add("traffic_multiplier", lambda s, d: raw.read(s, d, "events").select("event_id", traffic_multiplier(F.col("ts").cast("timestamp") + F.expr("INTERVAL 240 DAYS") + F.make_interval(days=(F.col("event_id") % 90).cast("int"))).alias("multiplier")), f"SELECT event_id, ({_WEIGHTS}::DOUBLE[])[hour(l) + 1] * CASE WHEN strftime(l, '%m-%d') IN ('09-09', '11-11', '12-12') THEN 5.0 ELSE 1.0 END AS multiplier FROM (SELECT event_id, ts + INTERVAL 240 DAY + to_days((event_id % 90)::INTEGER) + INTERVAL 7 HOUR AS l FROM events)")

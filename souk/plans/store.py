@@ -40,8 +40,9 @@ class Store:
         with self.building:
             if name not in self.known:
                 rows = build()
-                rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
-                self.known[name] = rows.schema
+                if name not in self.known:  # a model that stores itself is stored by now
+                    rows.write.parquet(f"{self.root}/{name}")
+                    self.known[name] = rows.schema
         return self.spark.read.schema(self.known[name]).parquet(f"{self.root}/{name}")
 
     def folder(self, name: str, fill: Callable[[str], None]) -> str:
