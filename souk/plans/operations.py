@@ -6,6 +6,7 @@ A folder's tables are driven through it once a session; dashboards and health re
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from souk.plans.store import store_of
 from souk.session import scratch
 from souk.sources import lake
 from souk.sources import marketplace as raw
+from souk.sources.contracts import load_all
 from souk.sources.messages import messages, send
 from souk.sources.runlog import Run, RunLog
 from souk.streaming import live
@@ -168,3 +170,47 @@ def reconcile_bounded(spark: SparkSession, folder: str) -> DataFrame:
     found = [p for p in parts if p is not None]
     return found[0].unionByName(found[1])
 
+
+def clean_run(spark: SparkSession, folder: str) -> DataFrame:
+    """What the clean run wrote, by the partitions that it replaced."""
+    return spark.read.parquet(f"{operate(spark, folder)}/clean_events").select("event_id", "city", F.date_format("dt", "yyyy-MM-dd").alias("dt"), F.col("hr").cast("int").alias("hr"))
+
+
+def extract_run(spark: SparkSession, folder: str) -> DataFrame:
+    """What the extracts wrote, table by table, with the watermark that each left."""
+    path = operate(spark, folder)
+    marks = RunLog(spark, f"{path}/runs").of("extract").groupBy("entity").agg(F.max("window_end").alias("watermark"))
+    parts = [spark.read.parquet(f"{path}/tables/{t}").agg(F.lit(t).alias("entity"), F.count(F.lit(1)).alias("n_rows"), F.min(k).cast("long").alias("first_key"), F.max(k).cast("long").alias("last_key")) for t, k in TABLES.items()]
+    return reduce(DataFrame.unionByName, parts).join(marks, "entity")
+
+
+def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages that the stream runs set aside, as they came."""
+    rows = spark.read.parquet(f"{operate(spark, folder)}/lake/dead_letters")
+    return rows.select("partition", "consumed_at", "error", "raw_value")
+
+
+def drifted_orders(spark: SparkSession, folder: str, path: str) -> None:
+    """Orders in the lake by four runs whose columns differ: as agreed, narrower and with one more, all texts, without amounts."""
+    rows = raw.orders(spark, folder)
+    key, run = F.col("order_id"), F.col("order_id") % 4
+    rows.where(run == 0).write.parquet(f"{path}/orders/run=0")
+    rows.where(run == 1).withColumns({"order_id": key.cast("int"), "user_id": F.col("user_id").cast("int"), "channel": F.lit("app")}).drop("currency").write.parquet(f"{path}/orders/run=1")
+    as_text = rows.where(run == 2).select(*(F.col(c).cast("string").alias(c) for c in rows.columns))
+    odd = {"total_amount": F.when(key.cast("long") % 7 == 0, F.concat("total_amount", F.lit("9"))).otherwise(F.col("total_amount")), "user_id": F.when(key.cast("long") % 5 == 0, None).otherwise(F.col("user_id"))}
+    as_text.withColumns(odd).write.parquet(f"{path}/orders/run=2")
+    rows.where(run == 3).drop("total_amount").write.parquet(f"{path}/orders/run=3")
+
+
+def load_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders loaded by their contract from files that drifted, and the rows that were refused with the reason."""
+    path = scratch(spark, "contract")
+    drifted_orders(spark, folder, f"{path}/lake")
+    load_all(spark, f"{path}/lake", f"{path}/warehouse", f"{path}/quarantine", ("orders", "payments"))
+    loaded = spark.read.parquet(f"{path}/warehouse/orders").select("order_id", "user_id", "currency", "total_amount", F.lit(None).cast("string").alias("reason"))
+    refused = f"{path}/quarantine/orders/rows"
+    if not lake.exists(spark, refused):
+        return loaded
+    given = F.from_json("raw", "order_id string, user_id string, currency string, total_amount string")
+    rows = spark.read.parquet(refused).select(given.alias("g"), "reason").withColumn("g", F.col("g").withField("total_amount", F.regexp_extract("g.total_amount", r"^\d+\.\d\d", 0))).select(*(F.col(f"g.{c}").cast(t).alias(c) for c, t in (("order_id", "long"), ("user_id", "long"), ("currency", "string"), ("total_amount", "decimal(14,2)"))), "reason")
+    return loaded.unionByName(rows)

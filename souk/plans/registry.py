@@ -213,6 +213,28 @@ add(
       FROM orders, (VALUES ('orders'), ('payments')) e(entity) WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY ALL""",
 )
 
+add("clean_run", operations.clean_run, sql("SELECT event_id, city, strftime(event_time, '%Y-%m-%d') AS dt, hour(event_time)::INTEGER AS hr FROM stg_events WHERE event_time::DATE = (SELECT max(event_time)::DATE FROM stg_events)"))
+add(
+    "extract_run",
+    operations.extract_run,
+    sql("""SELECT entity, n_rows, first_key::BIGINT AS first_key, last_key::BIGINT AS last_key, newest_at AS watermark FROM newest JOIN (
+      SELECT 'categories' AS entity, count(*) AS n_rows, min(category_id) AS first_key, max(category_id) AS last_key FROM stg_categories UNION ALL SELECT 'order_items', count(*), min(order_item_id), max(order_item_id) FROM stg_order_items
+      UNION ALL SELECT 'orders', count(*), min(order_id), max(order_id) FROM stg_orders UNION ALL SELECT 'payments', count(*), min(payment_id), max(payment_id) FROM stg_payments
+      UNION ALL SELECT 'products', count(*), min(p_partkey), max(p_partkey) FROM part UNION ALL SELECT 'sellers', count(*), min(seller_id), max(seller_id) FROM stg_sellers UNION ALL SELECT 'users', count(*), min(c_custkey), max(c_custkey) FROM customer) ON entity = t"""),
+)
+add(
+    "ingest_dead_letters",
+    operations.dead_letters,
+    f"""SELECT (user_id % 6)::INTEGER AS partition, ts::TIMESTAMP AS consumed_at, {_ERRORS} AS error,
+      CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN chr(65533) || chr(65533) || chr(0) WHEN 2 THEN '{{"event_id": "x' WHEN 3 THEN '[1, 2]' ELSE '{{"event_id": "x", "user_id": 5}}' END AS raw_value FROM events WHERE event_type = 'error'""",
+)
+add(
+    "load_contract",
+    operations.load_contract,
+    sql("""SELECT order_id::BIGINT AS order_id, CASE WHEN order_id % 4 = 2 AND order_id % 5 = 0 THEN NULL ELSE user_id END::BIGINT AS user_id, CASE WHEN order_id % 4 <> 1 THEN lower(currency) END AS currency, total_amount::DOUBLE AS total_amount,
+      CASE WHEN order_id % 4 = 2 AND order_id % 5 = 0 THEN 'user_id is missing' WHEN order_id % 4 = 2 AND order_id % 7 = 0 THEN 'total_amount is no decimal(14,2)' END AS reason FROM stg_orders WHERE order_id % 4 <> 3"""),
+)
+
 # Declared tests, freshness of sources, differences of keys, histories from logs of changes.
 def _declared_sql(test: declared.DataTest) -> str:
     column, model = test.column, test.model
