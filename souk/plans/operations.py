@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from souk.operators import clean, reconcile
 from souk.plans.store import store_of
 from souk.session import scratch
-from souk.sources import lake
+from souk.sources import database, lake
 from souk.sources import marketplace as raw
 from souk.sources.contracts import load_all
 from souk.sources.messages import messages, send
@@ -214,3 +214,20 @@ def load_contract(spark: SparkSession, folder: str) -> DataFrame:
     given = F.from_json("raw", "order_id string, user_id string, currency string, total_amount string")
     rows = spark.read.parquet(refused).select(given.alias("g"), "reason").withColumn("g", F.col("g").withField("total_amount", F.regexp_extract("g.total_amount", r"^\d+\.\d\d", 0))).select(*(F.col(f"g.{c}").cast(t).alias(c) for c, t in (("order_id", "long"), ("user_id", "long"), ("currency", "string"), ("total_amount", "decimal(14,2)"))), "reason")
     return loaded.unionByName(rows)
+
+
+def catalog_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders (with a key) and payments (without one) in a database, read back by what its catalog says."""
+    url = f"jdbc:derby:memory:{scratch(spark, 'shop').rpartition('/')[2]}"
+    database.execute(
+        spark, f"{url};create=true",
+        'CREATE TABLE orders ("status" VARCHAR(20), "order_id" BIGINT NOT NULL PRIMARY KEY, "total_amount" DECIMAL(14,2), "updated_at" TIMESTAMP)',
+        'CREATE TABLE payments ("payment_id" BIGINT, "amount" DECIMAL(14,2), "updated_at" TIMESTAMP)',
+    )
+    parts = {"orders": ("order_id", "total_amount"), "payments": ("payment_id", "amount")}
+    extra = {"orders": [F.trim("status").alias("status")], "payments": []}
+    for table, columns in parts.items():
+        database.write_table(source(spark, folder, table).select(*extra[table], *columns, "updated_at"), url, table)
+    keys = database.key_registry(spark, url, list(parts))
+    read = (database.read_by_key(spark, url, table, keys[table], 4).select(F.lit(table).alias("entity"), F.lit(keys[table]).alias("key"), F.col(id_).alias("id"), F.col(amount).alias("amount")) for table, (id_, amount) in parts.items())
+    return reduce(DataFrame.unionByName, read)

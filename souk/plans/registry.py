@@ -235,6 +235,8 @@ add(
       CASE WHEN order_id % 4 = 2 AND order_id % 5 = 0 THEN 'user_id is missing' WHEN order_id % 4 = 2 AND order_id % 7 = 0 THEN 'total_amount is no decimal(14,2)' END AS reason FROM stg_orders WHERE order_id % 4 <> 3"""),
 )
 
+add("catalog_keys", operations.catalog_keys, sql("SELECT 'orders' AS entity, 'order_id' AS key, order_id::BIGINT AS id, total_amount::DOUBLE AS amount FROM stg_orders UNION ALL SELECT 'payments', 'updated_at', payment_id, amount::DOUBLE FROM stg_payments"))
+
 # Declared tests, freshness of sources, differences of keys, histories from logs of changes.
 def _declared_sql(test: declared.DataTest) -> str:
     column, model = test.column, test.model
