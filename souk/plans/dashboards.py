@@ -13,9 +13,9 @@ from souk.plans import models, operations
 from souk.sources import marketplace as raw
 from souk.streaming import live
 
-Card = Callable[[SparkSession, str], DataFrame]
+Card = Callable[..., DataFrame]
 CARDS: dict[str, Card] = {}
-#: Now, for the live cards.
+#: What counts as now for the live cards, unless they are told (``now``).
 NOW = datetime(2024, 1, 15, 12, 0)
 
 
@@ -126,18 +126,18 @@ def _(spark, folder):
     return models.mart_funnel_daily(spark, folder).orderBy("event_date").select("event_date", "view_to_cart_rate", "cart_to_checkout_rate", "checkout_to_purchase_rate")
 
 
-def _recent(rows: DataFrame, column: str, minutes: int) -> DataFrame:
-    return rows.where(F.col(column) >= F.lit(NOW) - F.expr(f"INTERVAL {minutes} MINUTES"))
+def _recent(rows: DataFrame, column: str, minutes: int, now: datetime) -> DataFrame:
+    return rows.where(F.col(column) >= F.lit(now) - F.expr(f"INTERVAL {minutes} MINUTES"))
 
 
 @card(18, "live_purchases")
-def _(spark, folder):
-    return _recent(live.orders_per_minute(live.live_events(raw.sent_events(spark, folder))), "minute", 30).orderBy("minute")
+def _(spark, folder, now=NOW):
+    return _recent(live.orders_per_minute(live.live_events(raw.sent_events(spark, folder))), "minute", 30, now).orderBy("minute")
 
 
 @card(19, "live_events")
-def _(spark, folder):
-    return _recent(live.events_per_minute(live.live_events(raw.sent_events(spark, folder))), "minute", 30).orderBy("minute", "event_type")
+def _(spark, folder, now=NOW):
+    return _recent(live.events_per_minute(live.live_events(raw.sent_events(spark, folder))), "minute", 30, now).orderBy("minute", "event_type")
 
 
 @card(20, "live_funnel")
@@ -147,8 +147,8 @@ def _(spark, folder):
 
 
 @card(21, "live_sessions")
-def _(spark, folder):
-    return _recent(live.live_events(raw.sent_events(spark, folder)), "event_time", 15).agg(F.count_distinct("session_id").alias("sessions"))
+def _(spark, folder, now=NOW):
+    return _recent(live.live_events(raw.sent_events(spark, folder)), "event_time", 15, now).agg(F.count_distinct("session_id").alias("sessions"))
 
 
 @card(22, "checks_failing")

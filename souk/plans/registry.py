@@ -153,7 +153,7 @@ def _series(spark: SparkSession, folder: str) -> DataFrame:
     """Orders by day against events by day: no day in common, a NULL key on one side."""
     source = raw.orders(spark, folder).groupBy(F.to_date("created_at").alias("check_date")).agg(F.count(F.lit(1)).alias("n"))
     other = raw.read(spark, folder, "events").groupBy(F.when(F.col("event_type") != "error", F.to_date("ts")).alias("check_date")).agg(F.count(F.lit(1)).alias("n"))
-    return reconcile.compare_series(source, other, "mixed", "day")
+    return reconcile.compare_series(source, other, "mixed", "day").orderBy(F.asc_nulls_last("check_date"))
 
 
 add("full_outer_series", _series, "WITH s AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT CASE WHEN event_type <> 'error' THEN ts::DATE END AS d, count(*) AS n FROM events GROUP BY 1) SELECT 'mixed' AS entity, 'day' AS grain, coalesce(s.d, w.d) AS check_date, coalesce(s.n, 0) AS source_count, coalesce(w.n, 0) AS warehouse_count, coalesce(s.n, 0) - coalesce(w.n, 0) AS difference, CASE WHEN coalesce(s.n, 0) = coalesce(w.n, 0) THEN 'ok' ELSE 'mismatch' END AS status FROM s FULL JOIN w ON s.d IS NOT DISTINCT FROM w.d")

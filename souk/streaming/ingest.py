@@ -25,16 +25,22 @@ def parse_events(messages: DataFrame) -> DataFrame:
     number and refused for a text; true counts as 1.
     """
     text = F.try_validate_utf8(F.col("value").cast("string"))
-    rows = messages.withColumn("text", text).withColumn("payload", F.try_parse_json("text"))
-    kind = F.schema_of_variant("payload")
+    parsed = messages.withColumn("text", text).withColumn("payload", F.try_parse_json("text")).withColumn("kind", F.schema_of_variant("payload"))
+    kind = F.col("kind")
     is_object = kind.startswith("OBJECT")
-    field = {c: F.when(is_object, _typed(c, "string")) for c in _FIELDS}
-    shape = {c: F.schema_of_variant(F.try_variant_get("payload", f"$.{c}", "variant")) for c in ("user_id", "product_id", "schema_version")}
+    numbers = ("user_id", "product_id", "schema_version")
+    # Each field is taken out of the payload once, as a column that the rules below share.
+    taken = {f"as_text_{c}": F.when(is_object, _typed(c, "string")) for c in _FIELDS}
+    taken |= {f"shape_{c}": F.schema_of_variant(F.try_variant_get("payload", f"$.{c}", "variant")) for c in numbers}
+    taken |= {f"as_number_{c}": _typed(c, "double") for c in numbers} | {f"as_flag_{c}": _typed(c, "boolean") for c in numbers}
+    rows = parsed.withColumns(taken)
+    field, shape = {c: F.col(f"as_text_{c}") for c in _FIELDS}, {c: F.col(f"shape_{c}") for c in numbers}
 
     def whole(name: str) -> Column:
         as_text = F.trim(field[name]).try_cast("long")
-        cut = F.floor(F.abs(_typed(name, "double"))) * F.signum(_typed(name, "double"))
-        return F.when(shape[name] == "STRING", as_text).when(shape[name] == "BOOLEAN", _typed(name, "boolean").cast("long")).otherwise(cut.cast("long"))
+        number = F.col(f"as_number_{name}")
+        cut = F.floor(F.abs(number)) * F.signum(number)
+        return F.when(shape[name] == "STRING", as_text).when(shape[name] == "BOOLEAN", F.col(f"as_flag_{name}").cast("long")).otherwise(cut.cast("long"))
 
     def absent(name: str) -> Column:
         return field[name].isNull() | (field[name] == "")

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from souk.operators.versions import latest_version
 from souk.sources.marketplace import FUNNEL
 
 
-def live_rows(raw: DataFrame) -> DataFrame:
-    """Typed rows with an id and one of the funnel's types, written exactly so."""
+def instant(column: str, now: Column) -> Column:
+    """A text as an instant: as it stands, else without its zone letter, else the present (better than 1970)."""
+    return F.coalesce(F.try_to_timestamp(column), F.try_to_timestamp(F.replace(column, F.lit("Z"), F.lit(""))), now)
+
+
+def live_rows(raw: DataFrame, now: Column | None = None) -> DataFrame:
+    """Typed rows with an id and one of the funnel's types, written exactly so. A time that can't be read is ``now``."""
+    time = F.col("event_time") if raw.schema["event_time"].dataType != StringType() else instant("event_time", F.current_timestamp() if now is None else now)
     return raw.select(
-        "event_id", F.col("event_time").cast("timestamp").alias("event_time"), "event_type", F.coalesce(F.col("user_id").cast("string").try_cast("long"), F.lit(0)).alias("user_id"),
+        "event_id", time.cast("timestamp").alias("event_time"), "event_type", F.coalesce(F.col("user_id").cast("string").try_cast("long"), F.lit(0)).alias("user_id"),
         "session_id", "city", F.coalesce("device_type", "device").alias("device_type"), F.col("consumed_at").alias("ingested_at"),
     ).where(F.col("event_id").isNotNull() & (F.col("event_id") != "") & F.col("event_type").isin(*FUNNEL))
 
