@@ -110,7 +110,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
     A word inside any occurrence of an item's window is hit; items are those with occurring windows. A null
     text has no words, and items without words have no windows. Rows that repeat a doc_id are documents of
     their own, a null doc_id stays null; items that repeat an item_id are one, a null item_id is the empty
-    one. Other columns are left aside; an empty table of documents gives an empty result, one of items no hit.
+    one. A very long text is one row of postings a word, like any other; windows that begin at one place, or lie
+    over each other, hit a word once. Other columns are left aside; an empty table of documents gives an empty
+    result, one of items no hit.
     """
     work = Work(docs.sparkSession, "decontam")
     phrases = work.save(item_phrases(items, size), "phrases")

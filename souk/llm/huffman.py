@@ -217,7 +217,12 @@ def _read_raw(store, path: str) -> tuple[list, list[int], np.ndarray]:
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = 2) -> tuple[Work, DataFrame]:
-    """Write all documents' ids; (part, segment, file, n_ids) of the files, which lie under ``work.uri``/tokens."""
+    """Write all documents' ids; (part, segment, file, n_ids) of the files, which lie under ``work.uri``/tokens.
+
+    Documents come by doc_id, null ones first, then by a hash of their texts; those that share both are equal and
+    come in any order. A null text is empty. A very long text is one document of its file, which ends with it. No
+    documents make no files.
+    """
     work = Work(docs.sparkSession, "huffman")
     segments = _tokenise(docs, work, path or vocabulary_file(), end_id)
 
@@ -289,5 +294,6 @@ def read(work: Work, files: DataFrame) -> DataFrame:
 
 def op10_huffman(spark, sf_dir: str) -> DataFrame:
     """A null text is an empty one (the end id alone); rows that repeat a doc_id stand one after another, null
-    doc_ids first; other columns are left aside; an empty table gives an empty result."""
+    doc_ids first; a very long text is one document of any size; other columns are left aside; an empty table
+    gives an empty result."""
     return read(*write(spark.read.parquet(f"{sf_dir}/documents.parquet")))

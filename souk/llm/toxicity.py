@@ -272,7 +272,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
     A null text is an empty one; texts without words have the score of a word unlike any, a very long word is
-    taken in overlapping stretches. Rows that repeat a doc_id are scored each, a null doc_id stays null and isn't held out. Without a model (no labels of both
+    taken in overlapping stretches; a very long text is read word by word, and of its words the worst decides, whichever of
+    equal ones. Rows that repeat a doc_id are scored each, a null doc_id stays null and isn't held out. Without a model (no labels of both
     kinds to learn from) all scores are 0. Other columns are left aside; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
