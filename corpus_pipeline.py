@@ -64,7 +64,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, cut into pieces and packed. A null text is an empty one (its end id alone); rows that repeat are packed each."""
+    """What is left, cut into pieces and packed.
+
+    A null text is an empty one (its end id alone); rows that repeat are packed each; a very long text makes as many
+    pieces as it takes; pieces of one length are told apart by (doc_id, piece, checksum), equal ones take any order.
+    """
     return packing.pack(docs)
 
 

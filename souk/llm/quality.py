@@ -221,9 +221,10 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """A verdict on every row of ``docs`` (doc_id, text, lang; other columns are left aside).
 
     A null text counts as an empty one: no words, so base_failed. Rows that repeat a doc_id are judged each by
-    itself, a null doc_id stays null. A very long text is hashed in stretches. Of common words that occur equally
-    often those with the lesser hash count as the more common. An empty table gives an empty result. Without a reference to be held against the base rules alone decide. Distances of such texts and of those under the least lengths are null
-    and don't count against them.
+    itself, a null doc_id stays null. A very long text is hashed in stretches. Common words are all
+    above a share, so no ties are broken. An empty table gives an empty result. Without a reference to be held against the
+    base rules alone decide. Distances of such texts and of those under the least lengths are null and don't count
+    against them.
     """
     refs = references(docs, limits)
 
