@@ -139,33 +139,47 @@ _window = pa.schema([("high", pa.int64()), ("low", pa.int32()), ("doc_id", pa.in
 def windows_to_group(texts: DataFrame, repeated: DataFrame, stripes: int, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
     """(high, low, doc_id, number, places) of the windows, once a text, whose anchor's counters all are among the block's ``repeated``."""
 
-    def emit(own: pa.Table, told: pa.Table) -> pa.Table:
-        known = [np.frombuffer(x, "<u4").astype(np.uint64) | np.uint64(stripe << _PLACES) for stripe, x in zip(told.column("stripe").to_pylist(), told.column("counters").to_pylist(), strict=True)]
-        known = np.sort(np.concatenate([np.empty(0, np.uint64), *known]))
-        found = []
-        for batch in own.to_batches() if len(known) else ():
-            ids, numbers = batch.column("doc_id").to_numpy(), batch.column("number").to_numpy()
-            for chunk in chunks(batch.column("text")):
-                _, starts, owner = chunk.windows(size)
-                if not len(starts):
-                    continue
-                cells = counters(anchors(chunk.hashes, starts, size, anchor), stripes)
-                among = (known[np.minimum(np.searchsorted(known, cells), len(known) - 1)] == cells).all(axis=0)
-                at, owner = starts[among], owner[among]
-                if not len(at):
+    def emit(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, numbers = batch.column("doc_id").to_numpy(), batch.column("number").to_numpy()
+        for chunk in chunks(batch.column("text")):
+            _, starts, owner = chunk.windows(size)
+            if not len(starts):
+                continue
+            cells = counters(anchors(chunk.hashes, starts, size, anchor), stripes)
+            among = (known[np.minimum(np.searchsorted(known, cells), len(known) - 1)] == cells).all(axis=0)
+            at, owner = starts[among], owner[among]
+            if not len(at):
+                continue
+            high = window_hashes(chunk.hashes, size, 1)[at].view(np.int64)
+            low = (window_hashes(chunk.hashes, size, 2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            order = np.lexsort((at, low, high, owner))
+            high, low, at, owner = high[order], low[order], at[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])]))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at - chunk.first[owner], pa.int32()))
+            row = chunk.row + owner[first]
+            yield pa.RecordBatch.from_arrays([pa.array(high[first]), pa.array(low[first]), pa.array(ids[row]), pa.array(numbers[row]), places], schema=_window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, told, known = None, [], None
+        for batch in batches:
+            blocks, is_text = batch.column("block").to_numpy(), batch.column("counters").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(blocks * 2 + is_text, prepend=-1)).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(batch)], strict=False):
+                part = batch.slice(lo, hi - lo)
+                if blocks[lo] != block:
+                    block, told, known = blocks[lo], [], None
+                if not is_text[lo]:
+                    told += [np.frombuffer(x, "<u4").astype(np.uint64) | np.uint64(stripe << _PLACES) for stripe, x in zip(part.column("stripe").to_pylist(), part.column("counters").to_pylist(), strict=True)]
                     continue
-                high = window_hashes(chunk.hashes, size, 1)[at].view(np.int64)
-                low = (window_hashes(chunk.hashes, size, 2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                order = np.lexsort((at, low, high, owner))
-                high, low, at, owner = high[order], low[order], at[order], owner[order]
-                first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])]))
-                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at - chunk.first[owner], pa.int32()))
-                row = chunk.row + owner[first]
-                found.append(pa.RecordBatch.from_arrays([pa.array(high[first]), pa.array(low[first]), pa.array(ids[row]), pa.array(numbers[row]), places], schema=_window))
-        return pa.Table.from_batches(found, _window)
-
-    met = texts.select("block", "number", "doc_id", "text").groupBy("block").cogroup(repeated.groupBy("block"))
-    return met.applyInArrow(emit, "high long, low int, doc_id long, number long, places array<int>")
+                if known is None:
+                    known = np.sort(np.concatenate([np.empty(0, np.uint64), *told]))
+                if len(known):
+                    yield from emit(part, known)
+
+    # A block's counters come first, then its texts, batch by batch: Python never holds the texts of a whole block.
+    both = texts.select("block", "number", "doc_id", "text").unionByName(repeated.select("block", "stripe", "counters"), allowMissingColumns=True)
+    met = both.repartition("block").sortWithinPartitions(F.col("block"), F.col("counters").isNull())
+    return met.mapInArrow(lean(run), "high long, low int, doc_id long, number long, places array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
