@@ -2,13 +2,29 @@
 
 Any database that Spark has a JDBC driver for. Keys are looked up once for all tables; a table without one is cut by
 the column that dates its rows.
+
+Executors are processes of their own, so a database inside the driver's process is out of their reach. Where no server
+is at hand, ``write_shards`` makes a database of several files in the folder that all share: a task fills each of them,
+and afterwards every process can open each one for reading.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
+import pyarrow.csv as pc
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +102,53 @@ def read_by_key(spark: SparkSession, url: str, table: str, key: str, partitions:
 def write_table(rows: DataFrame, url: str, table: str, connections: int = 4) -> None:
     """Append rows to a table that is there."""
     rows.coalesce(connections).write.format("jdbc").mode("append").options(url=url, dbtable=table, batchsize=5000).save()
+
+
+def _fill(at: Path, ddl: str, table: str, batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> int:
+    """A new database in ``at`` with one table of these rows, closed again; how many rows there were."""
+    rows, options = 0, pc.WriteOptions(include_header=False, quoting_style="all_valid")
+    with pc.CSVWriter(at / "rows.csv", schema, write_options=options) as out:
+        for batch in batches:
+            out.write_batch(batch)
+            rows += len(batch)
+    load = f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{table.upper()}', 'rows.csv', ',', '\"', 'UTF-8', 0);\n" if rows else ""
+    (at / "load.sql").write_text(f"CONNECT 'jdbc:derby:shop;create=true';\n{ddl};\n{load}CONNECT 'jdbc:derby:shop;shutdown=true';\n")
+    java = f"{os.environ['JAVA_HOME']}/bin/java" if os.environ.get("JAVA_HOME") else "java"
+    home = os.environ.get("SPARK_HOME") or pyspark.__path__[0]
+    said = subprocess.run([java, "-Xmx256m", "-cp", f"{home}/jars/*", "org.apache.derby.tools.ij", "load.sql"], cwd=at, capture_output=True, text=True, check=True).stdout
+    if wrong := [x for x in said.splitlines() if x.startswith(("ERROR", "JAVA ERROR")) and "08006" not in x]:  # 08006: it was closed
+        raise RuntimeError("; ".join(wrong))
+    return rows
+
+
+def write_shards(rows: DataFrame, path: str, table: str, ddl: str, shards: int) -> list[str]:
+    """Rows as a table of a database in shards, dealt by their first column; the shards' addresses.
+
+    A shard is a database in a file, filled by one task in a process of its own and read-only from then on, so that
+    any number of processes open it. ``path`` is a folder that is mounted everywhere. A repeated task leaves a file that nobody names.
+    """
+    folder, columns = unquote(urlparse(path).path), rows.columns
+    plain = rows.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) if kind.startswith("timestamp") else F.col(c).cast("string").alias(c) for c, kind in rows.dtypes))
+    schema = pa.schema([(c, pa.string()) for c in columns])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = Path(tempfile.mkdtemp())
+        try:
+            n = _fill(at, ddl, table, (b.cast(schema) for b in batches), schema)
+            name = f"{folder}/{table}-{uuid.uuid4().hex}.jar"
+            os.makedirs(folder, exist_ok=True)
+            with zipfile.ZipFile(f"{name}.tmp", "w", zipfile.ZIP_STORED) as out:  # not compressed, so that pages are found by skipping
+                for file in sorted((at / "shop").rglob("*")):
+                    out.write(file, file.relative_to(at))
+            os.replace(f"{name}.tmp", name)
+        finally:
+            shutil.rmtree(at, ignore_errors=True)
+        yield pa.RecordBatch.from_pydict({"file": [name], "n": [n]})
+
+    made = plain.repartition(shards, columns[0]).mapInArrow(fill, "file string, n long").collect()  # a row a shard
+    return [f"jdbc:derby:jar:({r.file})shop" for r in sorted(made)]
+
+
+def read_shards(spark: SparkSession, urls: list[str], table: str, key: str, partitions: int = 1) -> DataFrame:
+    """A table of a database in shards: each shard read by its key."""
+    return reduce(DataFrame.unionByName, (read_by_key(spark, url, table, key, partitions) for url in urls))
