@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 MESSAGE = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp"
 _stored = pa.schema([("key", pa.binary()), ("value", pa.binary()), ("timestamp", pa.timestamp("us", "UTC"))])
 #: Messages that one task reads at most, and of which a writer holds so many for each partition.
-ROWS_PER_TASK, ROWS_HELD = 1_000_000, 10_000
+ROWS_PER_TASK, ROWS_HELD = 50_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,11 @@ def read_range(path: str, topic: str, part: Range) -> Iterator[pa.RecordBatch]:
     own = Topic(path, topic)
     for name, skip, take, offset in part.parts:
         with own.store.open_input_file(f"{own.root}/data/{name}") as source:
-            for batch in pq.ParquetFile(source).iter_batches(10_000):
+            held = pq.ParquetFile(source)
+            groups = list(range(held.num_row_groups))
+            while groups and skip >= (n := held.metadata.row_group(groups[0]).num_rows):  # not read at all
+                skip, groups = skip - n, groups[1:]
+            for batch in held.iter_batches(10_000, groups):
                 rows = batch.slice(skip, take)
                 skip, take = max(0, skip - len(batch)), take - len(rows)
                 if not len(rows):

@@ -16,7 +16,7 @@ from souk.sources import messages as topics
 from souk.sources.messages import Segment, Topic, Written, admit, messages, ranges, send
 from souk.sources.runlog import Run, RunListener, RunLog
 from souk.streaming.consume import consume
-from souk.streaming.ingest import TooManyMalformed
+from souk.streaming.ingest import TooManyMalformed, dead_letters, events, ingest, parse_events
 from souk.streaming.keyed import KeyedView, keep
 
 T0, T1, T2 = datetime(2026, 1, 1), datetime(2026, 2, 1), datetime(2026, 3, 1)
@@ -239,3 +239,31 @@ def test_bounded_series(spark):
     got = reconcile.bounded_series(rows, lambda: rows.limit(1), "x", T1).collect()
     assert [(r.source_count, r.warehouse_count, r.status) for r in got] == [(2, 1, "mismatch")]
     assert operations.newest(rows.limit(0), "updated_at") is None
+
+
+def test_filters_stay_above_parsing(spark, tmp_path):
+    """Each text is parsed once, whichever columns a filter asks for."""
+    send(spark.createDataFrame([(b'{"event_id": "a"}',), (b"[",)], "value binary"), "t", str(tmp_path))
+    for rows in (events(parse_events(messages(spark, "t", str(tmp_path)))), dead_letters(parse_events(messages(spark, "t", str(tmp_path))))):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_hours_are_written_once(spark, tmp_path):
+    """Messages of one hour that many tasks read make one file, and a large range of a partition many tasks."""
+    at = datetime(2026, 1, 1, 5)
+    send(spark.range(400, numPartitions=1).select(F.lit(b"[").alias("value"), F.lit(at).alias("timestamp")), "t", str(tmp_path))
+    assert messages(spark, "t", str(tmp_path), rowsPerTask=20).rdd.getNumPartitions() == 20
+    query = ingest(spark, messages(spark, "t", str(tmp_path), stream=True, rowsPerTask=20), f"{tmp_path}/out", f"{tmp_path}/checkpoint", {"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert len(list((tmp_path / "out/dead_letters").rglob("*.parquet"))) <= 4
+    assert spark.read.parquet(f"{tmp_path}/out/dead_letters").count() == 400
+
+
+def test_ranges_skip_row_groups(spark, tmp_path):
+    send(spark.range(25_000, numPartitions=1).select(F.col("id").cast("string").cast("binary").alias("value")), "t", str(tmp_path))
+    for first, last in ((0, 25_000), (9_999, 10_001), (10_000, 20_000), (20_001, 25_000), (24_999, 25_000), (25_000, 25_000)):
+        rows = messages(spark, "t", str(tmp_path), startingOffsets=f'{{"0": {first}}}', endingOffsets=f'{{"0": {last}}}', rowsPerTask=7_000)
+        assert [(r.offset, int(r.value)) for r in rows.orderBy("offset").collect()] == [(i, i) for i in range(first, last)]
