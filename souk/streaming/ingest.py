@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -92,8 +92,8 @@ def ingest(
 ) -> StreamingQuery:
     """Write a stream's events and dead letters, each batch to folders named by its number.
 
-    A batch that is run again after a failure overwrites its own folders, so nothing is lost or doubled. Counts are
-    observed while the events are written; only a batch with dead letters is read twice. ``trigger`` as for
+    A batch that is run again after a failure overwrites its own folders, so nothing is lost or doubled. A batch is
+    read and parsed once, for its counts, its events and its dead letters. ``trigger`` as for
     writeStream (``processingTime`` or ``availableNow``); ``on_batch`` gets each batch's number, events and dead
     letters. A batch of more than ``most_malformed`` dead letters writes those and ends the stream.
     """
@@ -104,12 +104,14 @@ def ingest(
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "hr", "batch").parquet(f"{out}/{name}")
 
     def write(batch: DataFrame, number: int) -> None:
-        seen = Observation()
-        parsed = parse_events(batch)
-        put(events(parsed.observe(seen, F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad"))), "events", number)
-        good, bad = seen.get["good"], seen.get["bad"]
-        if bad:
-            put(dead_letters(parsed), "dead_letters", number)
+        parsed = parse_events(batch).persist()
+        try:
+            good, bad = parsed.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).collect()[0]
+            put(events(parsed), "events", number)
+            if bad:
+                put(dead_letters(parsed), "dead_letters", number)
+        finally:
+            parsed.unpersist()
         if on_batch:
             on_batch(number, good, bad)
         if most_malformed is not None and bad > most_malformed:
