@@ -53,7 +53,7 @@ def stg_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stg_order_items(spark: SparkSession, folder: str) -> DataFrame:
-    rows = latest_version(raw.order_items(spark, folder), ["order_item_id"], "updated_at")
+    rows = latest_version(raw.order_items(spark, folder), ["order_id", "order_item_id"], "updated_at")  # dealt by order already
     return rows.select("order_item_id", "order_id", "product_id", "quantity", "unit_price", (F.col("quantity") * F.col("unit_price")).cast("decimal(18,2)").alias("line_amount"), "created_at", "updated_at")
 
 

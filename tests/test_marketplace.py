@@ -11,6 +11,7 @@ from souk.functions import half_up_ratio, status_for
 from souk.operators import checks, clean, materialise, reconcile
 from souk.operators.versions import as_of, latest_version, scd2_apply, since, upsert, with_version_key
 from souk.plans import models
+from souk.plans import staging
 from souk.sources import lake
 from souk.streaming import ingest, live
 
@@ -223,3 +224,13 @@ def test_checks(spark):
     assert sorted(r.v for r in checks.not_accepted(rows, "v", ("a", "b")).collect()) == ["c"]
     assert [r.k for r in checks.orphans(rows, "k", parent, "id").collect()] == [2]
     assert checks.dotted_names({"t": rows.withColumnRenamed("v", "a.v")}) == [("t", "a.v")]
+
+
+def test_lines_of_different_orders_stay_apart(spark, tmp_path):
+    """Line 1001 of an order has the number of the next order's first one; both stay, and lines are dealt by order once."""
+    n = F.col("id")
+    spark.range(1001).unionByName(spark.range(2000, 2001)).select(F.when(n < 2000, 1).otherwise(2).cast("long").alias("l_orderkey"), F.lit(7).cast("long").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"), n.cast("int").alias("l_linenumber"), *(F.lit(1.0).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), F.timestamp_seconds(n).alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, 2.5)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 3).select(n.alias("o_orderkey"), F.timestamp_seconds(n).alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = staging.stg_order_items(spark, str(tmp_path))
+    assert {r.order_id: r.n for r in rows.groupBy("order_id").agg(F.count("order_item_id").alias("n")).collect()} == {1: 1001, 2: 1}
