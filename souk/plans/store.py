@@ -7,6 +7,7 @@ new one. It lies in the folder that all executors share.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -46,12 +47,13 @@ class Store:
         return self.spark.read.schema(self.known[name]).parquet(f"{self.root}/{name}")
 
     def folder(self, name: str, fill: Callable[[str], None]) -> str:
-        """A folder that is filled by the first who asks."""
+        """A folder that is filled by the first who asks; one that wasn't filled to its end is left aside for a new one."""
         with self.building:
             if name not in self.known:
-                fill(f"{self.root}/{name}")
-                self.known[name] = True
-        return f"{self.root}/{name}"
+                path = f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
+                fill(path)
+                self.known[name] = path
+        return self.known[name]
 
 
 def store_of(spark: SparkSession, folder: str) -> Store:

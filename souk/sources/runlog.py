@@ -9,6 +9,7 @@ from __future__ import annotations
 import threading
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ class RunLog:
         return self.of(component).where(F.col("entity") == entity).agg(F.max("window_end")).collect()[0][0]
 
 
+class RunLogs(RunLog):
+    """Logs that components keep apart, read as one."""
+
+    def __init__(self, parts: dict[str, RunLog]):
+        self.parts = parts
+
+    def record(self, component: str, run_id: str, *runs: Run) -> None:
+        self.parts[component].record(component, run_id, *runs)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, (log.all() for log in self.parts.values()))
+
+
 class RunListener(StreamingQueryListener):
     """Records every streaming query of a session: batches, rows, and whether it failed. ``spark.streams.addListener(RunListener(log))``."""
 

@@ -267,3 +267,22 @@ def test_ranges_skip_row_groups(spark, tmp_path):
     for first, last in ((0, 25_000), (9_999, 10_001), (10_000, 20_000), (20_001, 25_000), (24_999, 25_000), (25_000, 25_000)):
         rows = messages(spark, "t", str(tmp_path), startingOffsets=f'{{"0": {first}}}', endingOffsets=f'{{"0": {last}}}', rowsPerTask=7_000)
         assert [(r.offset, int(r.value)) for r in rows.orderBy("offset").collect()] == [(i, i) for i in range(first, last)]
+
+
+def test_parts_of_the_operation_run_apart(spark, tmp_path, monkeypatch):
+    """A query runs the part that it reads and no other; a part that failed is filled anew."""
+    ran = []
+
+    def fill(spark, folder, path, log):
+        ran.append(path)
+        spark.range(len(ran)).write.parquet(f"{path}/rows")
+        if len(ran) == 1:
+            raise ValueError("broken")
+        log.record("clean", "r", Run(T0, T1))
+
+    monkeypatch.setattr(operations, "PARTS", {"clean": fill, "extract": lambda *_: pytest.fail("not asked for")})
+    with pytest.raises(ValueError, match="broken"):
+        operations.operate(spark, str(tmp_path), "clean")
+    path = operations.operate(spark, str(tmp_path), "clean")
+    assert operations.operate(spark, str(tmp_path), "clean") == path == ran[1] != ran[0] and len(ran) == 2
+    assert spark.read.parquet(f"{path}/rows").count() == 2 and RunLog(spark, f"{path}/runs").all().count() == 1
