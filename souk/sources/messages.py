@@ -20,7 +20,9 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import astuple, dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -161,7 +163,7 @@ def read_range(path: str, topic: str, part: Range) -> Iterator[pa.RecordBatch]:
                         continue
                     break
                 n = len(rows)
-                columns = [rows.column(0), rows.column(1), pa.array([topic] * n), pa.array([part.partition] * n, pa.int32()), pa.array(range(offset, offset + n), pa.int64()), rows.column(2)]
+                columns = [rows.column(0), rows.column(1), pa.repeat(topic, n), pa.repeat(pa.scalar(part.partition, pa.int32()), n), pa.array(np.arange(offset, offset + n)), rows.column(2)]
                 offset += n
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "value", "topic", "partition", "offset", "timestamp"])
 
@@ -278,8 +280,8 @@ class _Writing:
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         own, n = Topic(self.options["path"], self.options["topic"]), int(self.options.get("partitions", 1))
         own.store.create_dir(f"{own.root}/data", recursive=True)
-        now, turn = int(time.time() * 1_000_000), 0
-        held: dict[int, list[tuple]] = {}
+        now, turn = pa.scalar(int(time.time() * 1_000_000), pa.timestamp("us")).cast(_stored.field("timestamp").type), 0
+        held: dict[int, list[pa.Table]] = {}
         writers: dict[int, tuple[str, pq.ParquetWriter]] = {}
         rows: dict[int, int] = {}
 
@@ -287,18 +289,23 @@ class _Writing:
             if partition not in writers:
                 name = f"{partition}-{uuid.uuid4().hex}.parquet"
                 writers[partition] = name, pq.ParquetWriter(f"{own.root}/data/{name}", _stored, compression="zstd", filesystem=own.store)
-            writers[partition][1].write_table(pa.table(dict(zip(_stored.names, zip(*held[partition], strict=True), strict=True)), _stored))
-            rows[partition] = rows.get(partition, 0) + len(held.pop(partition))
+            found = pa.concat_tables(held.pop(partition))
+            writers[partition][1].write_table(found)
+            rows[partition] = rows.get(partition, 0) + len(found)
 
         for batch in iterator:
             names, size = batch.schema.names, len(batch)
-            key, value, partition, when = (batch.column(c).to_pylist() if c in names else [None] * size for c in ("key", "value", "partition", "timestamp"))
-            for k, v, p, t in zip(key, value, partition, when, strict=True):
-                k, v = (x.encode() if isinstance(x, str) else x for x in (k, v))
+            key, value, when = (batch.column(f.name).cast(f.type) if f.name in names else pa.nulls(size, f.type) for f in _stored)
+            placed = pa.Table.from_arrays([key, value, pc.fill_null(when, now)], schema=_stored)
+            to = batch.column("partition").cast(pa.int32()).to_pylist() if "partition" in names else [None] * size
+            for i, p in enumerate(to):
                 if p is None:
-                    p, turn = (zlib.crc32(k) % n, turn) if k is not None else (turn % n, turn + 1)
-                held.setdefault(p, []).append((k, v, now if t is None else t))
-                if len(held[p]) >= ROWS_HELD:
+                    k = key[i].as_py()
+                    to[i], turn = (zlib.crc32(k) % n, turn) if k is not None else (turn % n, turn + 1)
+            dealt = np.array(to, np.int32)
+            for p in np.unique(dealt).tolist():
+                held.setdefault(p, []).append(placed.take(np.flatnonzero(dealt == p)))
+                if sum(map(len, held[p])) >= ROWS_HELD:
                     flush(p)
         for p in list(held):
             flush(p)

@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 MESSAGE = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp"
 REQUIRED = ("event_id", "user_id", "event_type", "session_id", "event_time")
+#: Messages of one hour that one task writes.
+ROWS_OF_HOUR = 500_000
 _FIELDS = (*REQUIRED, "schema_version", "product_id", "city", "device", "device_type", "platform_version")
 
 
@@ -98,18 +100,21 @@ def ingest(
     letters. A batch of more than ``most_malformed`` dead letters writes those and ends the stream.
     """
 
-    def put(rows: DataFrame, name: str, number: int) -> None:
-        placed = rows.withColumns({"dt": F.date_format("consumed_at", "yyyy-MM-dd"), "hr": F.date_format("consumed_at", "HH")})
-        dealt = placed.withColumn("batch", F.lit(number)).hint("rebalance", "dt", "hr")  # an hour's rows go to few files, not to one of every task
+    def put(rows: DataFrame, name: str, number: int, most: int) -> None:
+        placed = rows.withColumns({"dt": F.date_format("consumed_at", "yyyy-MM-dd"), "hr": F.date_format("consumed_at", "HH"), "batch": F.lit(number)})
+        # An hour's rows go to few files, not to one of every task. Files of many hours take time however small they are, so all cores
+        # write them (a rebalanced batch of few bytes is one task); large hours are cut.
+        dealt = placed.repartition(spark.sparkContext.defaultParallelism, "dt", "hr") if most <= ROWS_OF_HOUR else placed.hint("rebalance", "dt", "hr")
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "hr", "batch").parquet(f"{out}/{name}")
 
     def write(batch: DataFrame, number: int) -> None:
         parsed = parse_events(batch).persist()
         try:
-            good, bad = parsed.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).collect()[0]
-            put(events(parsed), "events", number)
+            of_hour = parsed.groupBy(F.date_trunc("hour", "consumed_at")).agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad"))
+            good, bad, most_good, most_bad = of_hour.agg(*(F.coalesce(f(c), F.lit(0)) for f in (F.sum, F.max) for c in ("good", "bad"))).collect()[0]
+            put(events(parsed), "events", number, most_good)
             if bad:
-                put(dead_letters(parsed), "dead_letters", number)
+                put(dead_letters(parsed), "dead_letters", number, most_bad)
         finally:
             parsed.unpersist()
         if on_batch:

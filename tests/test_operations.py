@@ -269,6 +269,19 @@ def test_ranges_skip_row_groups(spark, tmp_path):
         assert [(r.offset, int(r.value)) for r in rows.orderBy("offset").collect()] == [(i, i) for i in range(first, last)]
 
 
+def test_many_hours_are_written_by_all_cores(spark, tmp_path):
+    """A small batch over many hours makes a file an hour, written by several tasks rather than by one."""
+    send(spark.range(200, numPartitions=1).select(F.lit(b"[").alias("value"), F.timestamp_seconds(F.col("id") % 40 * 3600).alias("timestamp")), "t", str(tmp_path))
+    query = ingest(spark, messages(spark, "t", str(tmp_path), stream=True), f"{tmp_path}/out", f"{tmp_path}/checkpoint", {"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    files = list((tmp_path / "out/dead_letters").rglob("*.parquet"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
+    assert spark.read.parquet(f"{tmp_path}/out/dead_letters").count() == 200
+
+
 def test_parts_of_the_operation_run_apart(spark, tmp_path, monkeypatch):
     """A query runs the part that it reads and no other; a part that failed is filled anew."""
     ran = []
