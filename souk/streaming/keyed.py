@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,12 +64,43 @@ class KeyedView:
             self._remove("base", n)
 
 
-def keep(view: KeyedView, changes: DataFrame, checkpoint: str, trigger: dict | None = None, compact_every: int = 20) -> StreamingQuery:
-    """Upsert a stream's updated rows (an aggregate in update mode: the rows of the keys that a batch touched) into a view."""
+@contextmanager
+def shuffled_to(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """The session's shuffle partitions, changed for a moment."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        if partitions:
+            spark.conf.set(name, partitions)
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Messages of a bounded stream that one partition of its state is given, over all batches.
+ROWS_OF_STATE = 250_000
+
+
+def state_partitions(spark: SparkSession, messages: int) -> int:
+    """Into how many partitions the state of a stream of so many messages goes.
+
+    Every batch reads and writes files of each partition, however few rows it has, so there are as many as cores until the
+    messages ask for more.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-messages // ROWS_OF_STATE))
+
+
+def keep(view: KeyedView, changes: DataFrame, checkpoint: str, trigger: dict | None = None, compact_every: int = 20, partitions: int | None = None) -> StreamingQuery:
+    """Upsert a stream's updated rows (an aggregate in update mode: the rows of the keys that a batch touched) into a view.
+
+    ``partitions`` of state are fixed by a checkpoint's first batch (without it: the session's shuffle partitions).
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         view.upsert(batch, number)
         if (number + 1) % compact_every == 0:
             view.compact()
 
-    return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    writer = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    with shuffled_to(view.spark, partitions):  # a query has the settings that its session had when it was started
+        return writer.start()

@@ -17,7 +17,7 @@ from souk.sources.messages import Segment, Topic, Written, admit, messages, rang
 from souk.sources.runlog import Run, RunListener, RunLog
 from souk.streaming.consume import consume
 from souk.streaming.ingest import TooManyMalformed, dead_letters, events, ingest, parse_events
-from souk.streaming.keyed import KeyedView, keep
+from souk.streaming.keyed import ROWS_OF_STATE, KeyedView, keep, state_partitions
 
 T0, T1, T2 = datetime(2026, 1, 1), datetime(2026, 2, 1), datetime(2026, 3, 1)
 GOOD = '{"event_id": "e%d", "user_id": 4, "event_type": "purchase", "session_id": "s", "event_time": "2026-10-02T10:30:00Z"}'
@@ -299,3 +299,17 @@ def test_parts_of_the_operation_run_apart(spark, tmp_path, monkeypatch):
     path = operations.operate(spark, str(tmp_path), "clean")
     assert operations.operate(spark, str(tmp_path), "clean") == path == ran[1] != ran[0] and len(ran) == 2
     assert spark.read.parquet(f"{path}/rows").count() == 2 and RunLog(spark, f"{path}/runs").all().count() == 1
+
+
+def test_state_goes_into_few_partitions(spark, tmp_path):
+    """A stream's state isn't cut by the session's shuffle partitions, which stay as they were; more messages make more partitions."""
+    path, before = f"{tmp_path}", spark.conf.get("spark.sql.shuffle.partitions")
+    send(numbered(spark, 30), "t", path)
+    counts = messages(spark, "t", path, stream=True).groupBy(F.col("key").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    view = KeyedView(spark, f"{path}/v", ["key"], "key string, n long")
+    query = keep(view, counts, f"{path}/checkpoint", partitions=2)
+    query.awaitTermination()
+    assert view.read().count() == 30 and spark.conf.get("spark.sql.shuffle.partitions") == before != "2"
+    assert sorted(x.name for x in (tmp_path / "checkpoint/state/0").iterdir() if x.name.isdigit()) == ["0", "1"]
+    cores = spark.sparkContext.defaultParallelism
+    assert state_partitions(spark, 10) == cores and state_partitions(spark, 100 * ROWS_OF_STATE + 1) == 101
