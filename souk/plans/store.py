@@ -34,11 +34,17 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.root = spark, scratch(spark, "models")
         self.known: dict[str, object] = {}
-        self.building = threading.RLock()
+        self.building: dict[str, threading.RLock] = {}
+        self.naming = threading.Lock()
+
+    def _one(self, name: str) -> threading.RLock:
+        """Who builds a model has it to himself; different ones are built at a time."""
+        with self.naming:
+            return self.building.setdefault(name, threading.RLock())
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The stored model, computed and written by the first who asks."""
-        with self.building:
+        with self._one(name):
             if name not in self.known:
                 rows = build()
                 if name not in self.known:  # a model that stores itself is stored by now
@@ -48,7 +54,7 @@ class Store:
 
     def folder(self, name: str, fill: Callable[[str], None]) -> str:
         """A folder that is filled by the first who asks; one that wasn't filled to its end is left aside for a new one."""
-        with self.building:
+        with self._one(name):
             if name not in self.known:
                 path = f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
                 fill(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections import Counter
 from datetime import datetime
@@ -313,3 +314,20 @@ def test_state_goes_into_few_partitions(spark, tmp_path):
     assert sorted(x.name for x in (tmp_path / "checkpoint/state/0").iterdir() if x.name.isdigit()) == ["0", "1"]
     cores = spark.sparkContext.defaultParallelism
     assert state_partitions(spark, 10) == cores and state_partitions(spark, 100 * ROWS_OF_STATE + 1) == 101
+
+
+def test_parts_and_models_are_filled_at_a_time(spark, tmp_path, monkeypatch):
+    """Each part waits until all have begun, so one after another they would never end; a model is still built once, and a failure is told."""
+    together, began = threading.Barrier(3, timeout=30), []
+
+    def fill(spark, folder, path, log):
+        began.append(path)
+        together.wait()
+        log.record("extract", path.rpartition("/")[2], Run(T0, T1))
+
+    monkeypatch.setattr(operations, "PARTS", dict.fromkeys(("a", "b", "c"), fill))
+    assert operations.logs(spark, str(tmp_path)).all().count() == 3
+    assert operations.logs(spark, str(tmp_path)).all().count() == 3 and len(began) == 3
+    with pytest.raises(ZeroDivisionError):
+        operations.at_once(spark, lambda n: 1 // n, (1, 0))
+    assert operations.at_once(spark, lambda n: spark.range(n).count(), (3, 1, 2)) == [3, 1, 2]
