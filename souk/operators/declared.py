@@ -58,6 +58,18 @@ def failing(models: Models, test: DataTest) -> DataFrame:
     return rows.where(_breaks(test))
 
 
+def _repeated(models: Models, test: DataTest) -> DataFrame:
+    return failing(models, test).agg(F.count(F.lit(1)).alias("failures"))
+
+
+def _orphans(models: Models, test: DataTest) -> DataFrame:
+    """How many rows ``failing`` has: keys are counted where they lie before they travel to those that they refer to."""
+    own = models(test.model).where(F.col(test.column).isNotNull()).groupBy(F.col(test.column).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    keys = models(test.to[0]).select(F.col(test.to[1]).alias("key")).distinct().withColumn("there", F.lit(True))
+    # An anti-join would be moved below the counts.
+    return own.join(keys, "key", "left").where("there IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures"))
+
+
 def report(models: Models, tests: Iterable[DataTest]) -> DataFrame:
     """(model, column, test, failures) of all tests; of ``unique`` the number of values that repeat, else of rows."""
     tests = list(dict.fromkeys(tests))
@@ -70,7 +82,7 @@ def report(models: Models, tests: Iterable[DataTest]) -> DataFrame:
             parts.append(sums.select(F.inline(F.array(*rows))))
     for t in tests:
         if t.kind in ("unique", "relationships"):
-            n = failing(models, t).agg(F.count(F.lit(1)).alias("failures"))
+            n = _repeated(models, t) if t.kind == "unique" else _orphans(models, t)
             parts.append(n.select(F.lit(t.model).alias("model"), F.lit(t.column).alias("column"), F.lit(t.kind).alias("test"), "failures"))
     found = parts[0]
     for part in parts[1:]:

@@ -52,9 +52,13 @@ def stg_orders(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("order_id", "user_id", F.col("status").alias("order_status"), F.upper(F.trim("currency")).alias("currency"), F.trim("shipping_city").alias("shipping_city"), "total_amount", F.to_date("created_at").alias("order_date"), "created_at", "updated_at", F.col("status").isin(*raw.TERMINAL).alias("is_terminal"))
 
 
+def order_items_of(rows: DataFrame, *more: str) -> DataFrame:
+    rows = latest_version(rows, ["order_id", "order_item_id"], "updated_at")  # dealt by order already
+    return rows.select("order_item_id", "order_id", "product_id", "quantity", "unit_price", (F.col("quantity") * F.col("unit_price")).cast("decimal(18,2)").alias("line_amount"), "created_at", "updated_at", *more)
+
+
 def stg_order_items(spark: SparkSession, folder: str) -> DataFrame:
-    rows = latest_version(raw.order_items(spark, folder), ["order_id", "order_item_id"], "updated_at")  # dealt by order already
-    return rows.select("order_item_id", "order_id", "product_id", "quantity", "unit_price", (F.col("quantity") * F.col("unit_price")).cast("decimal(18,2)").alias("line_amount"), "created_at", "updated_at")
+    return order_items_of(raw.order_items(spark, folder))
 
 
 def stg_payments(spark: SparkSession, folder: str) -> DataFrame:

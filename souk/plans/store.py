@@ -34,6 +34,7 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.root = spark, scratch(spark, "models")
         self.known: dict[str, object] = {}
+        self.expected: set[str] = set()
         self.building: dict[str, threading.RLock] = {}
         self.naming = threading.Lock()
 
@@ -42,13 +43,20 @@ class Store:
         with self.naming:
             return self.building.setdefault(name, threading.RLock())
 
+    def expect(self, name: str) -> None:
+        """Say that a model will be stored in any case, so that who could read it needn't compute it another way."""
+        self.expected.add(name)
+
+    def has(self, name: str) -> bool:
+        return name in self.known or name in self.expected
+
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The stored model, computed and written by the first who asks."""
         with self._one(name):
             if name not in self.known:
                 rows = build()
                 if name not in self.known:  # a model that stores itself is stored by now
-                    rows.write.parquet(f"{self.root}/{name}")
+                    rows.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
                     self.known[name] = rows.schema
         return self.spark.read.schema(self.known[name]).parquet(f"{self.root}/{name}")
 
