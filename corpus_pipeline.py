@@ -50,16 +50,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Equal texts are one class, however often they repeat, empty ones too; a null text is a class of its own.
     """
     keyed = docs.select(whole_row(docs), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
-    rows = number_rows(Work(spark, "near"), keyed, [], ["unnamed", "id", "key"], "number", "numbered")
-    kept = bagminhash.near_duplicates(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))).where("kept")
-    return rows.join(kept.select(F.col("doc_id").alias("number")), "number", "left_semi").select("row.*")
+    work = Work(spark, "near")
+    rows = number_rows(work, keyed, [], ["unnamed", "id", "key"], "number", "numbered")
+    found = bagminhash.near_duplicates(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
+    # Those that go are mostly the fewer ones, and their stored table's size is known: whole rows needn't travel to a few numbers.
+    gone = work.save(found.where("NOT kept").select(F.col("doc_id").alias("number")), "gone")
+    return rows.join(gone, "number", "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a window of a benchmark item go, each by its own text, of any length. Null and empty texts have none and stay."""
-    rows = Work(spark, "decontaminated").save(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("number")), "numbered")
+    work = Work(spark, "decontaminated")
+    rows = work.save(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("number")), "numbered")
     found = decontam.contamination(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("number"))
+    bad = work.save(found.where("contaminated").select(F.col("doc_id").alias("number")), "contaminated")
     return rows.join(bad, "number", "left_anti").select("row.*")
 
 

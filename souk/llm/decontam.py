@@ -50,7 +50,8 @@ class Index:
     def __init__(self, docs: DataFrame):
         numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
         tokens = numbered.select("row", "doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("at", "term"))
-        self.postings = Work(docs.sparkSession, "postings").save(tokens, "index")
+        self.work = Work(docs.sparkSession, "postings")
+        self.postings = self.work.save(tokens, "index")
 
     def documents(self) -> DataFrame:
         """(row, doc_id, n_words)."""
@@ -117,14 +118,19 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
     work = Work(docs.sparkSession, "decontam")
     phrases = work.save(item_phrases(items, size), "phrases")
     index = Index(docs)
-    found = work.save(Search(index, phrases.select("phrase", "terms").distinct()).exact(), "found")
+    search = Search(index, phrases.select("phrase", "terms").distinct())
+    found = work.save(search.exact(), "found")
+    lengths = work.save(index.documents(), "lengths")
+    # Nothing looks into the lists and the postings any more, and these are larger than the texts.
+    search.work.drop("terms", "lists", "counts", "offsets", "met-1", "met-2", "open")
+    index.work.drop("index")
     end = F.col("start") + F.col("size")
     earlier = Window.partitionBy("row").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("row", "start", "size").distinct().withColumn("upto", F.max(end).over(earlier))
     hits = spans.groupBy("row").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", F.coalesce("upto", "start")))).cast("long").alias("n_hit"))
     of_items = found.select("row", "phrase").distinct().join(phrases.select("phrase", "item"), "phrase").select("row", "item").distinct()
     lists = of_items.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("items"))
-    out = index.documents().join(hits, "row", "left").join(lists, "row", "left")
+    out = lengths.join(hits, "row", "left").join(lists, "row", "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.lit("")).cast("binary")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 

@@ -693,3 +693,11 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
             assert left == Counter(rows) - Counter([(None, good[5] + "\n" + leak)])
         if name == "best_fit_packing":
             assert len({(r.doc_id, r.ids_crc32) for r in out.where("piece = 0").collect()}) == len(set((i, t or "") for i, t in rows))
+
+
+def test_lists_and_postings_go_when_they_are_read(spark, docs, tmp_path, monkeypatch):
+    """Of a search only what was found and the documents' lengths stay on disk."""
+    monkeypatch.setattr("souk.llm.common.shared_folder", lambda spark: tmp_path.as_uri())
+    items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    assert decontam.contamination(docs, items).count() == docs.count()
+    assert {p.name for p in tmp_path.glob("*/*")} == {"phrases", "found", "lengths"}
